@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import simhash
+from skein.llm import decontaminate, langid, packing, pii, simhash
 from skein.llm.common import materialize
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text evidence of a language, or in none of the known ones with confidence, go."""
+    model = langid.fit(docs.select("text", F.col("lang").alias("language")))
+    return langid.keep_identified(docs, langid.identify(docs, model, declared=F.col("lang"), address=F.col("source")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a ten-word window of a benchmark item go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers are masked and terms that disclose them generalised; no document goes."""
+    return pii.sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language), ("simhash_near_dedup", near_dedup), ("decontamination", decontaminated), ("pii", sanitised), ("packing", packed)]
 
 #: SimHash, masking and tokenisation are beyond SQL; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None

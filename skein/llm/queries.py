@@ -3,32 +3,78 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from skein.llm import decontaminate, packing, simhash
+from skein.llm import decontaminate, html_text, interpolation, langid, packing, passages, pii, rabitq, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, host, path) of the listed URL rules.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, its declared language and its source."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("text", F.col("lang").alias("language")))
+    return langid.identify(docs, model, declared=F.col("lang"), address=F.col("source")).drop("text_hash")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted-interpolation scores of all documents."""
+    return interpolation.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings at cosine 0.95."""
+    return rabitq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents by anchor-point covering."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and the terms that disclose them in all documents."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that other documents repeat."""
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs; association rules are mined from the pages whose id is labelled (bad: toxic or of low quality)."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    mined = url_rules.mine(pages.select("page_id", "url").join(labels, "page_id").select("url", "bad"))
+    return url_rules.judge(pages, URL_RULES, mined)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside ten-word windows of the benchmark's items."""
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op7_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_pii_sanitisation, op7_best_fit_packing, op8_substring_dedup, op9_url_filters, op10_benchmark_decontamination)}
+
 
 #: The corpus operators hash, decode and cluster beyond what SQL states; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
