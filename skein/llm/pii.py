@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import ALNUM_WORDS, Words, materialize, text_slices
 
@@ -126,7 +127,7 @@ def _suspects(texts: pa.Array) -> np.ndarray:
 
 
 def counts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    """Per task: (null, term, n, 0) for all occurrences of a term, (entity, term, n, docs) for those near an entity."""
+    """Per task: (null, term, n, 0) for all occurrences of a term outside identifiers, (entity, term, n, docs) for those near an entity."""
     source = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -139,12 +140,16 @@ def counts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
             for i in _suspects(texts).tolist():
                 text = texts[i].as_py()
                 if spans := base_spans(text):
+                    inside = Counter(m[0].translate(ASCII_LOWER).encode() for m in TERM.finditer(text))
+                    inside.subtract(t for _, _, t in terms(text, spans))
+                    keys.append(np.array([term_key(t) for t in inside], np.int64))
+                    sizes.append(-np.array(list(inside.values()), np.int64))
                     for entity, own in near_terms(text, spans, window).items():
                         for term, n in own.items():
                             held = near.setdefault((entity, term_key(term)), [0, 0])
                             held[0] += n
                             held[1] += 1
-            if len(keys) >= 8:
+            if len(keys) >= 64:
                 keys, sizes = map(list, zip(_sum(keys, sizes), strict=True))
             if len(near) > 1 << 18:
                 yield _near_rows(near)
@@ -247,7 +252,7 @@ def _applied(docs: DataFrame, text_col: str, pairs: DataFrame, fn, schema, colum
 
     own = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(mentions, "_key long, entity long").distinct().join(pairs, "entity")
     own = own.groupBy("_key").agg(F.collect_list(F.struct("entity", "term")).alias("_pairs"))
-    joined = source.mapInArrow(keyed, source.schema.add("_key", "long")).join(own, "_key", "left").select(*columns, "_pairs")
+    joined = source.mapInArrow(keyed, T.StructType([*source.schema.fields, T.StructField("_key", T.LongType())])).join(own, "_key", "left").select(*columns, "_pairs")
 
     def run_joined(batches):
         for rows, texts in text_slices(batches, at):

@@ -1,0 +1,62 @@
+import random
+import re
+
+from skein.llm import pii
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def brute(text):
+    out = [("email", *m.span()) for m in re.finditer(EMAIL, text)]
+    out += [("ip", *m.span()) for m in re.finditer(IP, text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(CARD, text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(PHONE, text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.ORDER[s[0]]))
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(9)
+    signs = ["a", "Z", ".", "@", "-", "_", "%", "+", "1", "25", "255", "300", " ", "\n", "é", "(", ")", "4111 1111 1111 1111", "10.0.0.1", "x@y.de", "+49 (0)30 1234567"]
+    for _ in range(4000):
+        text = "".join(rng.choices(signs, k=rng.randint(1, 25)))
+        assert pii.base_spans(text) == brute(text), repr(text)
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    for n in (300, 50_000):
+        long = "a@" * n + "1." * n + " " + "9" * n + "+" * n
+        got = pii.base_spans(long)
+        assert n > 300 or got == brute(long)
+
+
+def corpus(n=60):
+    rng = random.Random(2)
+    common = [f"word{k}" for k in range(40)]
+    docs = [(k, " ".join(rng.choices(common, k=30))) for k in range(n)]
+    for k in (3, 11, 17, 40):
+        docs[k] = (k, docs[k][1] + " write to Zebulon Quux at zeb.quux@example.org or call +1 (202) 555-0143 today " + " ".join(rng.choices(common, k=20)))
+    docs[41] = (41, docs[41][1] + " word1 zebulon word2")
+    docs += [(90, None), (91, ""), (None, "mail a@b.cd"), (3, docs[3][1]), (95, "w " * 30000 + "10.1.2.3")]
+    return docs
+
+
+def test_terms_that_disclose_an_entity_are_spans_where_it_stands(spark):
+    docs = corpus()
+    frame = spark.createDataFrame([(d, t, "s", 0) for d, t in docs], "doc_id long, text string, spans string, n_chars int").repartition(3)
+    for bound in (10, 10_000):
+        got = pii.find(frame, broadcast_pairs=0 if bound == 10 else bound).collect()
+        assert len(got) == len(docs)
+        by = {r.doc_id: r for r in got}
+        text = docs[11][1]
+        terms = [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in by[11].spans.split(",") if s.startswith("term")]
+        assert "Zebulon" in terms and "Quux" in terms and not any(t.startswith("word") for t in terms)
+        assert by[11].n_email == 1 and by[11].n_phone == 1 and by[41].spans == "" and by[90].spans == ""
+        assert by[None].n_email == 1 and by[95].n_ip == 1
+        clean = {r.doc_id: r for r in pii.sanitise(frame, broadcast_pairs=0 if bound == 10 else bound).collect()}
+        assert "[EMAIL]" in clean[11].text and "[PHONE]" in clean[11].text and "Zebulon" not in clean[11].text
+        assert clean[11].n_chars == len(clean[11].text) and clean[5].text == docs[5][1] and clean[5].n_chars == 0 and clean[90].text is None
+    assert pii.find(frame.limit(0)).count() == 0
