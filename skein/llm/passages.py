@@ -7,9 +7,9 @@ whose hash says so; all of it is local, so a passage is cut alike wherever it st
 Bands have one row each: two paragraphs of Jaccard similarity s share one of b bands with probability 1 - (1 - s)^b,
 0.998 at 0.8 with four. Neighbouring paragraphs share their minima, so a chunk of documents has few distinct band keys;
 they go packed and sorted to the bucket of their leading bits, which answers each chunk which of its keys more than one
-document has. Only paragraphs with such a key go on, as rows. Paragraphs of equal words are one class. Classes that
-share a band are joined to the band's first class and verified by exact Jaccard over five-word shingles, and connected
-components of the verified links are the groups. A passage that a third of all documents share is one key per chunk
+document has. Only paragraphs with such a key go on, as rows. Paragraphs of equal words are one class. A class of one
+document is joined to the classes of the first and the last document of each band it shares and verified by exact
+Jaccard over five-word shingles; connected components of the verified links are the groups. A passage that a third of all documents share is one key per chunk
 until the end, and then rows of single documents.
 """
 
@@ -82,10 +82,9 @@ class Paragraphs:
             self.content = _scramble(first, 52) ^ second
 
 
-def shingles(text: str, start: int, end: int, shingle: int) -> set[bytes]:
-    """The distinct shingles of the words start to end of a text."""
-    own = text.encode().translate(LOWER).split()[start:end]
-    return {b" ".join(own[k : k + shingle]) for k in range(len(own) - shingle + 1)}
+def shingles(words: list[bytes], start: int, end: int, shingle: int) -> set[bytes]:
+    """The distinct shingles of the words start to end."""
+    return {b" ".join(words[k : k + shingle]) for k in range(start, min(end, len(words)) - shingle + 1)}
 
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -178,40 +177,56 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 shared = np.concatenate([_unpack(a["shared"], a["size"], "<u1") for a in sorted(row["answers"], key=lambda a: a["bucket"])]).astype(bool)
                 hit = shared[place].reshape(bands, size)
                 some = np.flatnonzero(hit.any(0))
+                if not len(some):
+                    continue
                 doc = _unpack(row["doc"], size, "<u4")[some].astype(np.int64)
                 start, length = (_unpack(row[c], size, "<u4")[some].astype(np.int64) for c in ("start", "length"))
                 content = _unpack(row["content"], size, "<u8")[some].view(np.int64)
                 keys = values[place].reshape(bands, size)[:, some].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hit[:, some].sum(0))], pa.int32()), pa.array(keys.T[hit[:, some].T]))
-                yield pa.RecordBatch.from_arrays([pa.array((row["chunk"] << 20) | doc), batch.column(ids_at)[k].values.take(pa.array(doc)), pa.array(start), pa.array(start + length), pa.array(content), lists], ["row", "id", "start", "end", "content", "keys"])
-
-    found = materialize(ready.mapInArrow(candidates, f"row long, id {kind}, start long, end long, content long, keys array<long>"), "candidates")
+                # Equal paragraphs of one row that overlap (a sentence over and over) are one longer one.
+                order = np.lexsort((start, content, doc))
+                d, c, a, e = doc[order], content[order], start[order], (start + length)[order]
+                new = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(c) != 0) | (a[1:] > e[:-1])])
+                last = np.r_[new[1:], len(order)] - 1
+                hits = hit[:, some][:, order[new]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hits.sum(0))], pa.int32()), pa.array(keys[:, order[new]].T[hits.T]))
+                first_end = pa.array(e[new])
+                yield pa.RecordBatch.from_arrays([pa.array((row["chunk"] << 20) | d[new]), batch.column(ids_at)[k].values.take(pa.array(d[new])), pa.array(a[new]), pa.array(e[last]), first_end, pa.array(c[new]), lists], ["row", "id", "start", "end", "first_end", "content", "keys"])
+
+    found = materialize(ready.mapInArrow(candidates, f"row long, id {kind}, start long, end long, first_end long, content long, keys array<long>"), "candidates")
     release(table)
-    # Classes that share a band meet at the band's first class.
-    bands_of = found.select("content", F.explode("keys").alias("key")).distinct()
-    first = bands_of.groupBy("key").agg(F.min("content").alias("other"), F.max("content").alias("most")).where("other < most").select("key", "other")
-    pairs = materialize(bands_of.join(first, "key").where("content <> other").select("content", "other").distinct(), "pairs")
-    classes = pairs.select("content").unionByName(pairs.select(F.col("other").alias("content"))).distinct()
-    example = found.join(classes, "content", "left_semi").groupBy("content").agg(F.min_by(F.struct("row", "id", "start", "end"), F.struct("row", "start")).alias("e"))
-    example = example.select("content", "e.*")
+    own_rows = found.groupBy("content").agg(
+        F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.min(F.struct("row", "start", F.col("first_end").alias("end"), "id")).alias("e")
+    )
+    own_rows = materialize(own_rows, "classes")
+    # Classes of several rows are repeated as they are. The others meet the first and the last row of each of their bands.
+    ends = found.select("row", "content", F.explode("keys").alias("key")).groupBy("key").agg(F.min(F.struct("row", "content")).alias("a"), F.max(F.struct("row", "content")).alias("b")).where("a.row < b.row")
+    single = found.join(own_rows.where("lo = hi").select("content"), "content", "left_semi").select("row", "content", F.explode("keys").alias("key")).join(ends, "key")
+    sides = F.array(*(F.when(F.col(f"{x}.row") != F.col("row"), F.col(f"{x}.content")) for x in "ab"))
+    pairs = materialize(single.select("content", F.explode(F.array_compact(sides)).alias("other")).where("content <> other").distinct(), "pairs")
+    wanted = pairs.select("content").unionByName(pairs.select(F.col("other").alias("content"))).distinct()
+    example = own_rows.join(wanted, "content", "left_semi").select("content", "e.*")
+    # One row per text, however many of its paragraphs are looked at; an id that stands for several texts brings them all.
+    by_id = example.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("content", "start", "end")).alias("parts"))
 
     def cut(batches):
         for batch in batches:
-            ids, texts, starts, ends = (batch.column(c).to_pylist() for c in ("content", "text", "start", "end"))
-            out = [[xxhash.xxh64_intdigest(s) - (1 << 63) for s in shingles(t, a, b, shingle)] for t, a, b in zip(texts, starts, ends, strict=True)]
+            ids, out = [], []
+            for t, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words_of = t.encode().translate(LOWER).split()
+                for part in parts:
+                    ids.append(part["content"])
+                    out.append([xxhash.xxh64_intdigest(s) - (1 << 63) for s in shingles(words_of, part["start"], part["end"], shingle)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["content", "own"])
 
-    # An id may stand for several texts: those in which the paragraph isn't are told apart by its content.
-    texts = source.where("text is not null").join(example.select(F.col("id").alias("i"), "content", "start", "end"), F.col("id").eqNullSafe(F.col("i")))
-    sets = texts.select("content", "text", "start", "end").mapInArrow(cut, "content long, own array<long>").groupBy("content").agg(F.max_by("own", F.size("own")).alias("own"))
-    sets = materialize(sets, "shingles")
+    texts = source.where("text is not null").join(by_id, F.col("id").eqNullSafe(F.col("i"))).select("text", "parts")
+    sets = materialize(texts.mapInArrow(cut, "content long, own array<long>"), "shingles")
     both = pairs.join(sets, "content").join(sets.select(F.col("content").alias("other"), F.col("own").alias("theirs")), "other")
     common = F.size(F.array_intersect("own", "theirs"))
-    links = materialize(both.where(common >= similarity * (F.size("own") + F.size("theirs") - common)).select("content", "other"), "links")
+    links = materialize(both.where((common > 0) & (common >= similarity * (F.size("own") + F.size("theirs") - common))).select("content", "other").distinct(), "links")
     comps = connected_components(links, "content", "other")
     # What a class knows of itself and of the classes that it was verified against: rows, and the first document.
-    own_rows = found.groupBy("content").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    own_rows = materialize(own_rows.join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content")), "classes")
+    own_rows = own_rows.drop("e").join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     both_ways = links.unionByName(links.select(F.col("other").alias("content"), F.col("content").alias("other")))
     beside = both_ways.join(own_rows.select(F.col("content").alias("other"), "lo", "hi", "first"), "other").groupBy("content").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min("first").alias("f"))
     groups = own_rows.join(beside, "content", "left").select("content", "component", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"), F.least("first", "f")["row"].alias("keep")).where("lo < hi").drop("lo", "hi")
