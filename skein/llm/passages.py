@@ -7,9 +7,10 @@ whose hash says so; all of it is local, so a passage is cut alike wherever it st
 Bands have one row each: two paragraphs of Jaccard similarity s share one of b bands with probability 1 - (1 - s)^b,
 0.998 at 0.8 with four. Neighbouring paragraphs share their minima, so a chunk of documents has few distinct band keys;
 they go packed and sorted to the bucket of their leading bits, which answers each chunk which of its keys more than one
-document has. Only paragraphs with such a key go on, as rows. Paragraphs of equal words are one class. A class of one
-document is joined to the classes of the first and the last document of each band it shares and verified by exact
-Jaccard over five-word shingles; connected components of the verified links are the groups. A passage that a third of all documents share is one key per chunk
+document has. Only paragraphs with such a key go on, as rows. Paragraphs of equal words are one class. All
+classes of a band key are compared by exact Jaccard over five-word shingles, however many documents hold them; hot keys
+are cut into tiles, and only edges that span the near classes leave a task. Two paragraphs that overlap in a document
+are no link, or a chain of them would run along it. Connected components of the links are the groups. A passage that a third of all documents share is one key per chunk
 until the end, and then rows of single documents.
 """
 
@@ -149,7 +150,91 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "size": table.column("size"), "shared": pa.array(answers, pa.binary())})
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20, least_words: int = 30, shingle: int = 5, similarity: float = 0.8, bands: int = 4) -> DataFrame:
+def _beside(doc: np.ndarray, start: np.ndarray, end: np.ndarray, content: np.ndarray, keys: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class, class) of paragraphs that overlap in one row and share a key; the smaller class first, each once."""
+    band, at = np.nonzero(hits)
+    key = keys[band, at]
+    order = np.lexsort((start[at], doc[at], key))
+    key, at = key[order], at[order]
+    out = [np.zeros((0, 3), np.int64)]
+    for step in range(1, len(key)):
+        i, j = at[:-step], at[step:]
+        same = (key[:-step] == key[step:]) & (doc[i] == doc[j])
+        if not same.any():
+            break
+        same &= (start[j] < end[i]) & (content[i] != content[j])
+        one, other = content[i[same]], content[j[same]]
+        out.append(np.stack([key[:-step][same], np.minimum(one, other), np.maximum(one, other)], 1))
+    found = np.concatenate(out)
+    found = found[np.lexsort(found.T[::-1])]
+    return tuple(found[np.r_[True, (found[1:] != found[:-1]).any(1)]].T if len(found) else found.T)
+
+
+def _spanning(contents: list[int], tiles: list[int], sets: list[bytes], apart: set[tuple[int, int]], cross: bool, similarity: float) -> list[tuple[int, int]]:
+    """Edges that span the components of the near pairs: what is reached need not be compared again. cross: only pairs of two tiles count."""
+    tile, name = np.array(tiles), np.array(contents)
+    values = [np.frombuffer(x, np.uint64) for x in sets]
+    size = np.array([len(v) for v in values])
+    owner = np.repeat(np.arange(len(values)), size)
+    flat = np.unique(np.concatenate(values), return_inverse=True)[1]
+    order = np.argsort(flat, kind="stable")
+    by_value, bounds = owner[order], np.r_[0, np.cumsum(np.bincount(flat))]
+    starts = np.r_[0, np.cumsum(size)]
+    new = np.ones(len(values), bool)
+    edges = []
+    for root in range(len(values)):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        while queue and new.any():
+            at = queue.pop()
+            own = flat[starts[at] : starts[at + 1]]
+            held = [by_value[bounds[v] : bounds[v + 1]] for v in own.tolist()]
+            common = np.bincount(np.concatenate(held), minlength=len(values)) if held else np.zeros(len(values), np.int64)
+            near = new & (common > 0) & (common >= similarity * (size[at] + size - common)) & (name != name[at])
+            if cross:
+                near &= tile != tile[at]
+            for k in np.flatnonzero(near).tolist():
+                pair = min(contents[at], contents[k]), max(contents[at], contents[k])
+                if pair not in apart:
+                    new[k] = False
+                    queue.append(k)
+                    edges.append(pair)
+    return edges
+
+
+def _near(similarity: float):
+    """Rows sorted by (key, a, b), classes and overlapping pairs, -> spanning edges of the near classes."""
+
+    def found(rows: list[dict]) -> list[tuple[int, int]]:
+        classes = [r for r in rows if r["other"] is None]
+        apart = {(r["content"], r["other"]) for r in rows if r["other"] is not None}
+        if len(classes) < 2:
+            return []
+        return _spanning([r["content"] for r in classes], [r["tile"] for r in classes], [r["own"] for r in classes], apart, rows[0]["a"] != rows[0]["b"], similarity)
+
+    def run(batches):
+        rows, mark = [], None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                now = row["key"], row["a"], row["b"]
+                if now != mark:
+                    out += found(rows)
+                    rows, mark = [], now
+                rows.append(row)
+            yield _edges(out)
+        yield _edges(found(rows))
+
+    return run
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["content", "other"])
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 20, least_words: int = 30, shingle: int = 5, similarity: float = 0.8, bands: int = 4, tile: int = 512) -> DataFrame:
     """One row per document with repeated passages: id_col, component_id, n_repeated, n_removed, spans, removed, kept.
 
     A passage is repeated if two rows have it, word for word (A-Z in lower case) or with a Jaccard similarity of
@@ -191,21 +276,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 hits = hit[:, some][:, order[new]]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hits.sum(0))], pa.int32()), pa.array(keys[:, order[new]].T[hits.T]))
                 first_end = pa.array(e[new])
-                yield pa.RecordBatch.from_arrays([pa.array((row["chunk"] << 20) | d[new]), batch.column(ids_at)[k].values.take(pa.array(d[new])), pa.array(a[new]), pa.array(e[last]), first_end, pa.array(c[new]), lists], ["row", "id", "start", "end", "first_end", "content", "keys"])
-
-    found = materialize(ready.mapInArrow(candidates, f"row long, id {kind}, start long, end long, first_end long, content long, keys array<long>"), "candidates")
+                ids = batch.column(ids_at)[k].values
+                yield pa.RecordBatch.from_arrays([pa.array((row["chunk"] << 20) | d[new]), ids.take(pa.array(d[new])), pa.array(a[new]), pa.array(e[last]), first_end, pa.array(c[new]), lists, pa.nulls(len(new), pa.int64())], columns)
+                key, one, other = _beside(d[new], a[new], e[last], c[new], keys[:, order[new]], hits)
+                none = pa.nulls(len(key), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(key), ids.type), none, none, none, pa.array(one), pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1), pa.int32()), pa.array(key)), pa.array(other)], columns)
+
+    columns = ["row", "id", "start", "end", "first_end", "content", "keys", "other"]
+    both = materialize(ready.mapInArrow(candidates, f"row long, id {kind}, start long, end long, first_end long, content long, keys array<long>, other long"), "candidates")
+    found = both.where("other is null").drop("other")
     release(table)
     own_rows = found.groupBy("content").agg(
         F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.min(F.struct("row", "start", F.col("first_end").alias("end"), "id")).alias("e")
     )
     own_rows = materialize(own_rows, "classes")
-    # Classes of several rows are repeated as they are. The others meet the first and the last row of each of their bands.
-    ends = found.select("row", "content", F.explode("keys").alias("key")).groupBy("key").agg(F.min(F.struct("row", "content")).alias("a"), F.max(F.struct("row", "content")).alias("b")).where("a.row < b.row")
-    single = found.join(own_rows.where("lo = hi").select("content"), "content", "left_semi").select("row", "content", F.explode("keys").alias("key")).join(ends, "key")
-    sides = F.array(*(F.when(F.col(f"{x}.row") != F.col("row"), F.col(f"{x}.content")) for x in "ab"))
-    pairs = materialize(single.select("content", F.explode(F.array_compact(sides)).alias("other")).where("content <> other").distinct(), "pairs")
-    wanted = pairs.select("content").unionByName(pairs.select(F.col("other").alias("content"))).distinct()
-    example = own_rows.join(wanted, "content", "left_semi").select("content", "e.*")
+    # Every two classes of a key are compared, but for those that overlap in one row: their likeness is the overlap. Keys with no other pairs are done with.
+    keyed = materialize(found.select("content", F.explode("keys").alias("key")).distinct(), "keyed")
+    beside = materialize(both.where("other is not null").select("content", "other", F.col("keys")[0].alias("key")).distinct(), "beside")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(beside.groupBy("key").agg(F.count("*").alias("p")), "key", "left")
+    sizes = materialize(counts.where("coalesce(p, 0) < n * (n - 1) / 2").select("key", F.ceil(F.col("n") / tile).cast("long").alias("g")), "sizes")
+    met = keyed.join(sizes, "key")
+    example = own_rows.join(met.select("content").distinct(), "content", "left_semi").select("content", "e.*")
     # One row per text, however many of its paragraphs are looked at; an id that stands for several texts brings them all.
     by_id = example.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("content", "start", "end")).alias("parts"))
 
@@ -216,14 +307,21 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 words_of = t.encode().translate(LOWER).split()
                 for part in parts:
                     ids.append(part["content"])
-                    out.append([xxhash.xxh64_intdigest(s) - (1 << 63) for s in shingles(words_of, part["start"], part["end"], shingle)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["content", "own"])
+                    own = shingles(words_of, part["start"], part["end"], shingle)
+                    out.append(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["content", "own"])
 
     texts = source.where("text is not null").join(by_id, F.col("id").eqNullSafe(F.col("i"))).select("text", "parts")
-    sets = materialize(texts.mapInArrow(cut, "content long, own array<long>"), "shingles")
-    both = pairs.join(sets, "content").join(sets.select(F.col("content").alias("other"), F.col("own").alias("theirs")), "other")
-    common = F.size(F.array_intersect("own", "theirs"))
-    links = materialize(both.where((common > 0) & (common >= similarity * (F.size("own") + F.size("theirs") - common))).select("content", "other").distinct(), "links")
+    # An id of several texts gives a class several sets; the one of its own words is among them, and each counts as the class.
+    sets = materialize(texts.mapInArrow(cut, "content long, own binary").distinct(), "shingles")
+    # More than `tile` classes of a key are dealt to tiles, and every two tiles meet; overlapping pairs go where their tiles meet.
+    place = "pmod(xxhash64({}, key), g)"
+    classes = met.join(sets, "content").select("key", "g", "content", "own", F.expr(place.format("content")).alias("tile")).withColumn("with", F.explode(F.expr("sequence(0L, g - 1)")))
+    classes = classes.select("key", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "content", F.lit(None).cast("long").alias("other"), "tile", "own")
+    apart = beside.join(sizes, "key").withColumn("s", F.expr(place.format("content"))).withColumn("t", F.expr(place.format("other")))
+    apart = apart.select("key", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "content", "other", F.lit(None).cast("long").alias("tile"), F.lit(None).cast("binary").alias("own"))
+    dealt = classes.unionByName(apart).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    links = materialize(dealt.mapInArrow(_near(similarity), "content long, other long").distinct(), "links")
     comps = connected_components(links, "content", "other")
     # What a class knows of itself and of the classes that it was verified against: rows, and the first document.
     own_rows = own_rows.drop("e").join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))

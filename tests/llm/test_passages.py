@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from skein.llm import passages
 
 
@@ -37,3 +39,37 @@ def test_repeated_rows_are_copies(spark):
     text = " ".join(sentence(rng, 12) for _ in range(5))
     got = passages.repeated(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed > 0) for r in got) == [(1, False), (1, True)]
+
+
+def unbroken(rng, n):
+    """n words with no place to cut between them."""
+    out = []
+    while len(out) < n:
+        word = "".join(rng.choices("abcdefghijklmno", k=rng.randint(3, 7)))
+        if xxhash.xxh64_intdigest(word) % 32:
+            out.append(word)
+    return out
+
+
+def test_near_wordings_of_several_documents_each_are_compared(spark):
+    rng = random.Random(4)
+    passage = unbroken(rng, 44)
+    wordings = [[*passage[:-1 - k], f"nearby{k}", *passage[len(passage) - k :]] for k in range(3)]
+    far = unbroken(rng, 44)
+    texts = [wordings[0], wordings[0], wordings[1], wordings[1], wordings[2], wordings[2], far, far]
+    docs = [(k, f"{sentence(rng, 25)}\n{' '.join(text)}\n{sentence(rng, 25)}") for k, text in enumerate(texts, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for tile in (512, 2):
+        got = {r.doc_id: r for r in passages.repeated(frame, tile=tile).collect()}
+        assert {d: r.component_id for d, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7}
+        assert [d for d, r in sorted(got.items()) if r.kept] == [1, 7]
+
+
+def test_overlaps_within_a_document_are_no_links(spark):
+    rng = random.Random(6)
+    parts = [" ".join(sentence(rng, 3) for _ in range(30)) for _ in range(4)]
+    docs = [(1, parts[0]), (2, f"{parts[0]} {parts[1]}"), (3, f"{parts[1]} {parts[2]}"), (4, parts[3])]
+    got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3}
+    assert 80 <= got[2].n_removed <= 96 and got[1].n_removed == 0
+    assert 80 <= got[3].n_removed <= 96 and got[3].n_repeated <= 96 and 160 <= got[2].n_repeated
