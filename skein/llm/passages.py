@@ -239,7 +239,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     A passage is repeated if two rows have it, word for word (A-Z in lower case) or with a Jaccard similarity of
     `similarity` over `shingle`-word shingles. spans: start:end word places, comma-joined, of the maximal repeated runs
-    of at least least_words words; removed: those parts that an earlier document (by id) has too. component_id: smallest id in a group of passages this row takes part in; kept: nothing is removed here.
+    of at least least_words words; removed: those parts whose
+    group has an earlier document (by id); its first one keeps them. component_id: smallest id in a group of passages this row takes part in; kept: nothing is removed here.
     Null and empty texts and those of under `words` words have no passages. Rows that repeat are copies of each other; a
     null id stays null. Other columns aren't read; an empty table gives an empty result.
     """
@@ -323,13 +324,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     dealt = classes.unionByName(apart).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     links = materialize(dealt.mapInArrow(_near(similarity), "content long, other long").distinct(), "links")
     comps = connected_components(links, "content", "other")
-    # What a class knows of itself and of the classes that it was verified against: rows, and the first document.
     own_rows = own_rows.drop("e").join(comps.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    both_ways = links.unionByName(links.select(F.col("other").alias("content"), F.col("content").alias("other")))
-    beside = both_ways.join(own_rows.select(F.col("content").alias("other"), "lo", "hi", "first"), "other").groupBy("content").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min("first").alias("f"))
-    groups = own_rows.join(beside, "content", "left").select("content", "component", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"), F.least("first", "f")["row"].alias("keep")).where("lo < hi").drop("lo", "hi")
-    named = own_rows.groupBy("component").agg(F.min("first.id").alias("component_id"))
-    members = found.select("row", "id", "start", "end", "content").join(groups.join(named, "component"), "content").select("row", "id", "start", "end", "component_id", (F.col("row") != F.col("keep")).alias("extra"))
+    # What holds for a whole group: its rows, its smallest id, and the first row by id, which alone keeps its passages.
+    whole = own_rows.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first.id").alias("component_id"), F.min("first")["row"].alias("keep")).where("lo < hi").drop("lo", "hi")
+    groups = own_rows.select("content", "component").join(whole, "component")
+    members = found.select("row", "id", "start", "end", "content").join(groups, "content").select("row", "id", "start", "end", "component_id", (F.col("row") != F.col("keep")).alias("extra"))
     per_row = members.groupBy("row").agg(F.first("id").alias("id"), F.min("component_id").alias("component_id"), F.collect_list(F.struct("start", "end", "extra")).alias("parts"))
 
     def merge(batches):

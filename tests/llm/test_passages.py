@@ -73,3 +73,14 @@ def test_overlaps_within_a_document_are_no_links(spark):
     assert set(got) == {1, 2, 3}
     assert 80 <= got[2].n_removed <= 96 and got[1].n_removed == 0
     assert 80 <= got[3].n_removed <= 96 and got[3].n_repeated <= 96 and 160 <= got[2].n_repeated
+
+
+def test_one_document_of_a_group_keeps_its_passage(spark):
+    rng = random.Random(11)
+    base = unbroken(rng, 53)
+    # Each wording is near the one before and after it only, so ids 2 and 5 meet ids 9 and 10 alone.
+    wordings = [base[3 * k : 3 * k + 44] for k in range(4)]
+    docs = [(i, f"{sentence(rng, 25)}\n{' '.join(w)}\n{sentence(rng, 25)}") for i, w in zip((2, 9, 5, 10), wordings)]
+    got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(1)).collect()}
+    assert {d: r.component_id for d, r in got.items()} == dict.fromkeys((2, 5, 9, 10), 2)
+    assert [d for d, r in got.items() if r.kept] == [2]
