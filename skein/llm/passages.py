@@ -12,6 +12,11 @@ classes of a band key are compared by exact Jaccard over five-word shingles, how
 are cut into tiles, and only edges that span the near classes leave a task. Two paragraphs that overlap in a document
 are no link, or a chain of them would run along it. Connected components of the links are the groups. A passage that a third of all documents share is one key per chunk
 until the end, and then rows of single documents.
+
+Sentences may miss a passage that stands amid them, so there are units beside the paragraphs: `words` words each, from
+the places that winnowing chooses, the least five-word shingle of every WINDOW in a row. A run of words that two
+documents have is chosen from alike in both: runs of words + WINDOW - 1 words hold a unit, and the units cover it but for
+WINDOW - 1 words at either end. Units are equal or nothing; they have no bands, and their content is their key.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from skein.llm.interpolation import _bounds, _pack, _unpack
 
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 21
+WINDOW = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +47,8 @@ def _scramble(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """Overlapping paragraphs of a text array: doc, start and end (word places in the document), content hash, band keys."""
+    """Overlapping paragraphs of a text array: doc, start and end (word places in the document), content hash, band keys;
+    and which words start a unit, with the contents of the units."""
 
     def __init__(self, texts: pa.Array, words: int, shingle: int, bands: int):
         found = Words(texts, SPACE_WORDS)
@@ -81,6 +88,20 @@ class Paragraphs:
             # Two independent sums over the shingles; as these overlap, equal bags of them are equal paragraphs but for rare rotations, whose similarity is 1 all the same.
             first, second = (np.add.reduceat(np.append(_scramble(rolled, salt), np.uint64(0)), pairs)[::2] for salt in (50, 51))
             self.content = _scramble(first, 52) ^ second
+        self.unit = np.zeros(n, bool)
+        if len(rolled) >= WINDOW:
+            mixed = _scramble(rolled, 60)
+            least = np.lib.stride_tricks.sliding_window_view(mixed, WINDOW).argmin(1)
+            at = np.arange(len(least))
+            within = doc[at] == doc[at + WINDOW + shingle - 2]
+            self.unit[(at + least)[within]] = True
+            at = np.flatnonzero(self.unit)
+            self.unit[at[(at + words > n) | (doc[at] != doc[np.minimum(at + words, n) - 1])]] = False
+        at = np.flatnonzero(self.unit)
+        self.unit_content = np.zeros(len(at), np.uint64)
+        if len(at):
+            first, second = (np.add.reduceat(np.append(_scramble(rolled, salt), np.uint64(0)), np.stack([at, at + words - shingle + 1], 1).ravel())[::2] for salt in (50, 51))
+            self.unit_content = _scramble(first, 52) ^ second
 
 
 def shingles(words: list[bytes], start: int, end: int, shingle: int) -> set[bytes]:
@@ -105,19 +126,29 @@ def _chunks(docs: DataFrame, words: int, shingle: int, bands: int) -> DataFrame:
                 [{
                     "chunk": number, "ids": rows.column(0).to_pylist(), "size": len(found.start), "doc": _pack(found.doc.astype(np.uint32)), "start": _pack((found.start - first).astype(np.uint32)),
                     "length": _pack((found.end - found.start).astype(np.uint32)), "content": _pack(found.content), "keys": _pack(found.keys.T.ravel()),
+                    "first": _pack(found.first.astype(np.uint32)), "unit": _pack(np.packbits(found.unit)), "units": len(found.unit_content), "unit_content": _pack(found.unit_content),
                 }],
-                pa.schema([("chunk", pa.int64()), ("ids", pa.list_(rows.schema.field(0).type)), ("size", pa.int64()), *((c, pa.binary()) for c in ("doc", "start", "length", "content", "keys"))]),
+                pa.schema([("chunk", pa.int64()), ("ids", pa.list_(rows.schema.field(0).type)), ("size", pa.int64()), *((c, pa.binary()) for c in ("doc", "start", "length", "content", "keys", "first", "unit")), ("units", pa.int64()), ("unit_content", pa.binary())]),
             )
             number += 1
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, size long, doc binary, start binary, length binary, content binary, keys binary")
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, size long, doc binary, start binary, length binary, content binary, keys binary, first binary, unit binary, units long, unit_content binary")
+
+
+def _units(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first word place of the chunk's units."""
+    first = _unpack(row["first"], len(row["ids"]) + 1, "<u4").astype(np.int64)
+    n = int(first[-1])
+    at = np.flatnonzero(np.unpackbits(_unpack(row["unit"], -(-n // 8), "<u1"), count=n))
+    doc = np.searchsorted(first, at, "right") - 1
+    return doc, at - first[doc]
 
 
 def _distinct(row: dict, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's sorted distinct keys, for each key and band of a paragraph its place, and whether two documents have it."""
-    keys = _unpack(row["keys"], row["size"] * bands, "<u8")
-    doc = np.tile(_unpack(row["doc"], row["size"], "<u4"), bands)
+    """The chunk's sorted distinct keys, for each key and band of a paragraph and then each unit its place, and whether two documents have it."""
+    keys = np.r_[_unpack(row["keys"], row["size"] * bands, "<u8"), _unpack(row["unit_content"], row["units"], "<u8")]
+    doc = np.r_[np.tile(_unpack(row["doc"], row["size"], "<u4"), bands), _units(row)[0].astype(np.uint32)]
     values, place = np.unique(keys, return_inverse=True)
     least, most = np.full(len(values), 2**32 - 1, np.uint32), np.zeros(len(values), np.uint32)
     np.minimum.at(least, place, doc)
@@ -247,8 +278,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     table = materialize(_chunks(source, words, shingle, bands), "paragraphs")
-    n = table.agg(F.sum("size")).first()[0] or 0
-    bits = max(4, math.ceil(math.log2(max(1, n * bands / 4 / BUCKET_KEYS))))
+    n = table.agg(F.sum(F.col("size") * bands / 4 + F.col("units"))).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(max(1, n / BUCKET_KEYS))))
     asked = table.mapInArrow(_ask(bits, bands), "bucket int, chunk long, size long, keys binary, several binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, size long, shared binary")
     own = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "size", "shared")).alias("answers"))
@@ -261,20 +292,25 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 size = row["size"]
                 values, place, _ = _distinct(row, bands)
                 shared = np.concatenate([_unpack(a["shared"], a["size"], "<u1") for a in sorted(row["answers"], key=lambda a: a["bucket"])]).astype(bool)
-                hit = shared[place].reshape(bands, size)
+                hit = shared[place[: bands * size]].reshape(bands, size)
                 some = np.flatnonzero(hit.any(0))
-                if not len(some):
+                unit = np.flatnonzero(shared[place[bands * size :]])
+                if not len(some) and not len(unit):
                     continue
                 doc = _unpack(row["doc"], size, "<u4")[some].astype(np.int64)
                 start, length = (_unpack(row[c], size, "<u4")[some].astype(np.int64) for c in ("start", "length"))
                 content = _unpack(row["content"], size, "<u8")[some].view(np.int64)
-                keys = values[place].reshape(bands, size)[:, some].view(np.int64)
+                keys = values[place[: bands * size]].reshape(bands, size)[:, some].view(np.int64)
+                unit_doc, unit_start = (x[unit] for x in _units(row))
+                doc, start, length = np.r_[doc, unit_doc], np.r_[start, unit_start], np.r_[length, np.full(len(unit), words)]
+                content = np.r_[content, _unpack(row["unit_content"], row["units"], "<u8")[unit].view(np.int64)]
+                keys, hit = np.c_[keys, np.zeros((bands, len(unit)), np.int64)], np.c_[hit[:, some], np.zeros((bands, len(unit)), bool)]
                 # Equal paragraphs of one row that overlap (a sentence over and over) are one longer one.
                 order = np.lexsort((start, content, doc))
                 d, c, a, e = doc[order], content[order], start[order], (start + length)[order]
                 new = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(c) != 0) | (a[1:] > e[:-1])])
                 last = np.r_[new[1:], len(order)] - 1
-                hits = hit[:, some][:, order[new]]
+                hits = hit[:, order[new]]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hits.sum(0))], pa.int32()), pa.array(keys[:, order[new]].T[hits.T]))
                 first_end = pa.array(e[new])
                 ids = batch.column(ids_at)[k].values

@@ -84,3 +84,20 @@ def test_one_document_of_a_group_keeps_its_passage(spark):
     got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(1)).collect()}
     assert {d: r.component_id for d, r in got.items()} == dict.fromkeys((2, 5, 9, 10), 2)
     assert [d for d, r in got.items() if r.kept] == [2]
+
+
+def test_passages_of_51_words_amid_sentences(spark):
+    rng = random.Random(51)
+    planted = [[w for _ in range(51) for w in unbroken(rng, 1)] for _ in range(12)]
+    docs = [(100 + k, " ".join(sentence(rng, 12) for _ in range(6))) for k in range(8)]
+    for k, passage in enumerate(planted):
+        for copy in range(2):
+            before, after = unbroken(rng, rng.randint(3, 40)), unbroken(rng, rng.randint(3, 40))
+            docs.append((2 * k + copy, " ".join([*before, *passage, *after])))
+    got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert set(got) == set(range(24))
+    for d, r in got.items():
+        assert r.component_id == d // 2 * 2 and r.kept == (d % 2 == 0) and 41 <= r.n_repeated <= 51
+        words = dict(docs)[d].split()
+        a, b = map(int, r.spans.split(":"))
+        assert " ".join(words[a:b]) in " ".join(planted[d // 2])
