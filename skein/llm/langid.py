@@ -4,6 +4,9 @@ log posterior = text log-likelihood (byte trigrams, naive Bayes, tempered as tri
               + log p(declared language | language), a confusion table counted over all documents
               + log prior of the address: global -> suffix -> domain -> host, each level's counts of text-only posteriors
                 smoothed towards the level above (Dirichlet, `strength` pseudo-documents).
+An unknown class stands beside the languages: each of its trigrams is as likely as those of the least likely labelled
+texts, less a margin, so a text in none of the languages goes to it, unless it is so short that its declaration and
+address outweigh it.
 Both tables are grouped aggregations; a host that holds a third of all rows is one partial sum per task. Texts are read
 once: what joins the priors are narrow rows of scores.
 """
@@ -19,6 +22,7 @@ from skein.llm.common import byte_tables, materialize, text_slices
 
 LANGUAGES = ("de", "en", "es", "fr")
 TABLE_BITS = 16
+NEVER = -1e3
 SPACES = byte_tables(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -47,10 +51,12 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[own].astype(np.int64), np.r_[0, np.cumsum(counts)]
 
 
-def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = 20_000) -> np.ndarray:
-    """Log probabilities (table place, language) from rows (text, language) with a known language.
+def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = 20_000, margin: float = 1.0, fewest: int = 20) -> np.ndarray:
+    """Log probabilities (table place, language) from rows (text, language) with a known language; the last column is the unknown class.
 
-    At most about `sample` rows are used, chosen by a hash of the text; without any, all languages are alike.
+    At most about `sample` rows are used, chosen by a hash of the text; without any, all languages are alike. The unknown
+    class has `margin` less than the mean per trigram that 999 of 1000 of these rows of `fewest` trigrams or more reach
+    in their language, each trigram's own occurrence left out.
     """
     known = labelled.where(F.col("language").isin(*languages) & F.col("text").isNotNull())
     n = known.count()
@@ -77,7 +83,19 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
     rows = known.select("text", "language").mapInArrow(count, kind).groupBy("language").applyInArrow(add, kind).collect()  # one row for each language
     found = {r.language: np.frombuffer(r.counts, "<i8") for r in rows}
     table = np.stack([found.get(name, np.zeros(size)) + 0.5 for name in languages], 1).astype(np.float64)
-    return np.log(table / table.sum(0)).astype(np.float32)
+    held_out = np.log(np.maximum(table - 1, 0.5) / table.sum(0))
+
+    def mean(batches):
+        for rows, texts in text_slices(batches, 0):
+            codes, bounds = trigrams(texts)
+            own = np.array([languages.index(x) for x in rows.column(1).to_pylist()], np.int64)
+            n = np.diff(bounds)
+            total = np.diff(np.r_[0.0, np.cumsum(held_out[codes, np.repeat(own, n)])][bounds])
+            yield pa.RecordBatch.from_arrays([pa.array((total / np.maximum(n, 1))[n >= fewest])], ["mean"])
+
+    least = known.select("text", "language").mapInArrow(mean, "mean double").agg(F.percentile_approx("mean", 0.001, 10_000)).first()[0]
+    unknown = np.full((size, 1), NEVER if least is None else least - margin)
+    return np.c_[np.log(table / table.sum(0)), unknown].astype(np.float32)
 
 
 def address_parts(address: Column) -> tuple[Column, Column, Column]:
@@ -91,11 +109,12 @@ def declared_language(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)), F.lit(""))
 
 
-def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declared: Column | None = None, address: Column | None = None, id_col: str = "doc_id", languages: tuple[str, ...] = LANGUAGES, temper: float = 0.3, strength: float = 20.0, least: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declared: Column | None = None, address: Column | None = None, id_col: str = "doc_id", languages: tuple[str, ...] = LANGUAGES, temper: float = 0.3, strength: float = 20.0, least: float = 0.5, unknown: float = 1e-3) -> DataFrame:
     """One row per document: id_col, language, posterior, text_language, evidence (trigrams), accepted, text_hash.
 
     A text without trigrams (null, empty, no letters) has no evidence: language is null, and it is not accepted, nor is
-    one whose posterior is below `least`. Declared languages outside `languages` and null addresses say nothing. Rows
+    one whose posterior is below `least`. `unknown`: prior of the unknown class, whose posterior the others share less; it
+    is as likely to declare any language. Declared languages outside `languages` and null addresses say nothing. Rows
     that repeat are judged one by one; an empty table gives an empty result. text_hash tells apart rows that share an id.
     """
     names = list(languages)
@@ -112,16 +131,18 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
         for rows, texts in text_slices(batches, 1):
             codes, bounds = trigrams(texts)
             sums = np.stack([np.diff(np.r_[0.0, np.cumsum(log_p[codes, k], dtype=np.float64)][bounds]) for k in range(n)], 1) * temper
-            sums -= sums.max(1, keepdims=True)
+            most = sums.max(1, keepdims=True)
+            none = np.diff(bounds) * float(log_p[0, n]) * temper + np.log(unknown) - most[:, 0]
+            sums -= most
             part = np.exp(sums)
-            part /= part.sum(1, keepdims=True)
+            part /= part.sum(1, keepdims=True) + np.exp(np.minimum(none, 700.0))[:, None]
             part[np.diff(bounds) == 0] = 0
-            arrays = [*(rows.column(k) for k in (0, 2, 3, 4, 5, 6)), pa.array(np.diff(bounds)), *(pa.array(sums[:, k]) for k in range(n)), *(pa.array(part[:, k]) for k in range(n))]
+            arrays = [*(rows.column(k) for k in (0, 2, 3, 4, 5, 6)), pa.array(np.diff(bounds)), pa.array(none), *(pa.array(sums[:, k]) for k in range(n)), *(pa.array(part[:, k]) for k in range(n))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    columns = ["id", "declared", "host", "domain", "suffix", "text_hash", "evidence", *(f"l{k}" for k in range(n)), *(f"p{k}" for k in range(n))]
+    columns = ["id", "declared", "host", "domain", "suffix", "text_hash", "evidence", "none", *(f"l{k}" for k in range(n)), *(f"p{k}" for k in range(n))]
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, declared string, host string, domain string, suffix string, text_hash long, evidence long, " + ", ".join(f"l{k} double" for k in range(n)) + ", " + ", ".join(f"p{k} double" for k in range(n))
+    schema = f"id {kind}, declared string, host string, domain string, suffix string, text_hash long, evidence long, none double, " + ", ".join(f"l{k} double" for k in range(n)) + ", " + ", ".join(f"p{k} double" for k in range(n))
     scored = materialize(source.mapInArrow(score, schema), "langid")
     masses = [F.sum(f"p{k}").alias(f"p{k}") for k in range(n)]
 
@@ -150,7 +171,7 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     fused = scored.join(priors, ["suffix", "domain", "host"])
     fused = fused.withColumns({f"f{k}": F.col(f"l{k}") + said(k) + F.log(F.col(f"h{k}")) for k in range(n)})
     best = F.greatest(*(F.col(f"f{k}") for k in range(n)))
-    total = sum((F.exp(F.col(f"f{k}") - F.col("best")) for k in range(n)), F.lit(0.0))
+    total = sum((F.exp(F.col(f"f{k}") - F.col("best")) for k in range(n)), F.exp(F.col("none") - F.when(F.col("declared").isNull(), 0.0).otherwise(float(np.log(n))) - F.col("best")))
     fused = fused.withColumn("best", best).withColumn("posterior", 1.0 / total)
 
     def first(prefix: str, value: Column) -> Column:

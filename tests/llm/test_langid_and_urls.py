@@ -39,6 +39,28 @@ def test_fusion(spark):
     assert [r.d for r in page] == ["de", None, None]
 
 
+def test_texts_in_no_known_language_are_not_accepted(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = langid.fit(docs.select("text", F.col("lang").alias("language")))
+    others = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten",
+        *(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20)) for _ in range(5)),
+    ]
+    known = ["All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience", "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt"]
+    rows = [(-1 - k, t, "en" if k % 2 else None, "src1") for k, t in enumerate(others)] + [(-100 - k, t, None, None) for k, t in enumerate(known)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    found = {r.doc_id: r for r in langid.identify(both, model, declared=F.col("lang"), address=F.col("source")).collect()}
+    assert [k for k in range(len(others)) if found[-1 - k].accepted] == []
+    assert [found[-100 - k].language for k in range(2) if found[-100 - k].accepted] == ["en", "de"]
+    own = [r for d, r in found.items() if d >= 0]
+    assert sum(r.accepted for r in own) >= 0.99 * len(own)
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/1", "https://www.EXAMPLE.com/en/x?q#f", "http://shop.com", "http://shop.com/", "http://x.net/fr/9", "http://x.net/en/9", None, "no scheme", "http://h.org?x=/y", "http://bad.org/spam/77?utm=1", "ftp://notexample.com/en/"]
     pages = spark.createDataFrame([(k, u, "r") for k, u in enumerate([*urls, urls[9]])], "page_id long, url string, rule string")
