@@ -2,45 +2,112 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
+import re
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of text that the JVM sends a Python worker at once in materialize().
+TEXT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the context's own, else (local masters only) a new one."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's own, else (one machine, as in tests) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Plans made inside send at most that many rows in an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str, rows: int = TEXT_ROWS) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors. rows: see arrow_rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table of materialize() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._skein_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._skein_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"skein_{uuid.uuid4().hex[:12]}_{name}"
+
+
+def _trim(start: bool) -> None:
+    """Large arrays get pages of their own, and what is free goes back to the system, as workers idle beside each other."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        if start:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            return
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: memory stays with the worker
+        pass
+
+
+def frugal(fn):
+    """A function over record batches that leaves its worker small."""
+
+    def run(batches):
+        _trim(True)
+        try:
+            yield from fn(batches)
+        finally:
+            _trim(False)
+
+    return run
+
+
+def frugal_group(fn):
+    """The same for a function of one group's table."""
+
+    def run(table):
+        _trim(True)
+        out = fn(table)
+        _trim(False)
+        return out
+
+    return run
 
 
 def text_slices(batches, column: int, limit: int = SLICE_BYTES):

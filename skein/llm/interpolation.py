@@ -21,23 +21,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE_WORDS, Words, materialize, release, text_slices
+from skein.llm.common import SPACE_WORDS, Words, arrow_rows, frugal, frugal_group, materialize, release, text_slices
 
-CHUNK_BYTES = 12 << 20
+#: Bytes and rows of text in a chunk.
+CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 3000
 #: Keys that a bucket should hold of all chunks together.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...
 BUCKETS = 24
 STEPS = 4
-#: Log2 ratios are held between 0 and this; unseen ones are apart.
+#: Log2 ratios are held between this and its negative; unseen ones are apart.
 TOP_RATIO = 60
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
@@ -108,7 +112,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
             number += 1
 
-    return source.mapInArrow(run, f"chunk long, ids array<{kind}>, n_docs long, n_tokens long, n_values long, codes binary, vocabulary binary, lengths binary, held binary")
+    return source.mapInArrow(frugal(run), f"chunk long, ids array<{kind}>, n_docs long, n_tokens long, n_values long, codes binary, vocabulary binary, lengths binary, held binary")
 
 
 def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -116,21 +120,27 @@ def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
+def rows_of(batches):
+    """Rows as dicts, one at a time: they are wide."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _ask(bits: int):
     """Chunks -> (n, bucket, chunk, size, keys, counts)."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row)
-                for order, (keys, place) in ((1, chunk.unigrams()), (2, chunk.bigrams())):
-                    counts = np.bincount(place, chunk.train, len(keys)).astype(np.uint32)
-                    bounds = _bounds(keys, bits)
-                    out = []
-                    for b in np.flatnonzero(np.diff(bounds)).tolist():
-                        own = keys[bounds[b] : bounds[b + 1]]
-                        out.append((order, b, row["chunk"], len(own), _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[bounds[b] : bounds[b + 1]])))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["n", "bucket", "chunk", "size", "keys", "counts"])
+        for row in rows_of(batches):
+            chunk = Chunk(row)
+            for order, (keys, place) in ((1, chunk.unigrams()), (2, chunk.bigrams())):
+                counts = np.bincount(place, chunk.train, len(keys)).astype(np.uint32)
+                bounds = _bounds(keys, bits)
+                out = []
+                for b in np.flatnonzero(np.diff(bounds)).tolist():
+                    own = keys[bounds[b] : bounds[b + 1]]
+                    out.append((order, b, row["chunk"], len(own), _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[bounds[b] : bounds[b + 1]])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["n", "bucket", "chunk", "size", "keys", "counts"])
 
     return run
 
@@ -178,7 +188,7 @@ def expectation_maximisation(cells: np.ndarray, counts: np.ndarray, rounds: int
     weights[0] = [0.0, 0.9, 0.1]
     bucket = cells >> 32
     levels = np.stack([(cells >> 16) & 0xFFFF, cells & 0xFFFF], 1)
-    ratios = np.where(levels == 0, 0.0, np.exp2((levels - 1) / STEPS))
+    ratios = np.where(levels == 0, 0.0, np.exp2((levels - 1) / STEPS - TOP_RATIO))
     parts = np.concatenate([ratios, np.ones((len(cells), 1))], 1)
     for _ in range(rounds):
         share = weights[bucket] * parts
@@ -198,12 +208,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     id among them. base_score: add-one unigram log10 probability; score: that of the model. Repeated rows count and are
     scored one by one; other columns aren't read; an empty table gives an empty result.
     """
-    table = materialize(chunks(docs, id_col, text_col), "chunks")
+    spark = docs.sparkSession
+    table = materialize(chunks(docs, id_col, text_col), "chunks", CHUNK_ROWS)
     n = table.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, 2 * n / BUCKET_KEYS))))
-    asked = table.mapInArrow(_ask(bits), "n int, bucket int, chunk long, size long, keys binary, counts binary")
+    asked = table.mapInArrow(frugal(_ask(bits)), "n int, bucket int, chunk long, size long, keys binary, counts binary")
     kind = "n int, bucket int, chunk long, size long, totals binary, distinct long, tokens long"
-    answers = materialize(asked.groupBy("n", "bucket").applyInArrow(_answer, kind), "answers")
+    answers = materialize(asked.groupBy("n", "bucket").applyInArrow(frugal_group(_answer), kind), "answers", 2)
     types, tokens = (x or 0 for x in answers.where("n = 1 and chunk = -1").agg(F.sum("distinct"), F.sum("tokens")).first())
     own = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("n", "bucket", "size", "totals")).alias("answers"))
     ready = materialize(table.join(own, "chunk"), "counted")
@@ -212,25 +223,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     uniform = 1.0 / (types + 1)
 
     def histogram(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk, pair, context, word = _with_totals(row)
-                own = chunk.train
-                pair, context, word = pair[own] - 1, context[own] - 1, word[own] - 1
-                levels = []
-                for c, of in ((pair, np.maximum(context, 1)), (word, max(tokens - 1, 1))):
-                    ratio = np.log2(np.maximum(c, 0.5) / of / uniform)
-                    levels.append(np.where(c > 0, 1 + np.clip(np.round(ratio * STEPS), 0, TOP_RATIO * STEPS), 0).astype(np.int64))
-                cells, counts = np.unique((_bucket(context) << 32) | (levels[0] << 16) | levels[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
-
-    cells = ready.mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # no more than the grid has
+        for row in rows_of(batches):
+            chunk, pair, context, word = _with_totals(row)
+            own = chunk.train
+            pair, context, word = pair[own] - 1, context[own] - 1, word[own] - 1
+            levels = []
+            for c, of in ((pair, np.maximum(context, 1)), (word, max(tokens - 1, 1))):
+                ratio = np.log2(np.maximum(c, 0.5) / of / uniform)
+                levels.append(np.where(c > 0, 1 + STEPS * TOP_RATIO + np.clip(np.round(ratio * STEPS), -TOP_RATIO * STEPS, TOP_RATIO * STEPS), 0).astype(np.int64))
+            cells, counts = np.unique((_bucket(context) << 32) | (levels[0] << 16) | levels[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
+
+    with arrow_rows(spark, 1):
+        cells = ready.mapInArrow(frugal(histogram), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # no more than the grid has
     weights = expectation_maximisation(np.array([c for c, _ in cells], np.int64), np.array([k for _, k in cells], np.float64))
 
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            for k, row in enumerate(batch.to_pylist()):
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
                 chunk, pair, context, word = _with_totals(row)
                 w = weights[_bucket(context)]
                 p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] * uniform
@@ -240,7 +252,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([ids[k].values, pa.array(chunk.held), pa.array(chunk.lengths), pa.array(sums[0]), pa.array(np.full(n, tokens)), pa.array(sums[1]), pa.array(sums[2]), pa.array(np.full(n, types))], NAMES)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = ready.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, train_types long")
+    out = ready.mapInArrow(frugal(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, train_types long")
+    out = materialize(out, "scores", 1)
+    release(ready)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -42,6 +42,7 @@ def test_base_and_model_against_brute_force(spark):
 def test_weights_are_a_mixture():
     import numpy as np
 
-    cells = np.array([(5 << 32) | (80 << 16) | 40, (5 << 32) | (0 << 16) | 40, (2 << 32) | (0 << 16) | 0, (0 << 32) | 30], np.int64)
+    zero = interpolation.STEPS * interpolation.TOP_RATIO
+    cells = np.array([(5 << 32) | (zero + 80 << 16) | zero + 40, (5 << 32) | (0 << 16) | zero + 40, (2 << 32) | (0 << 16) | 0, (0 << 32) | zero + 30], np.int64)
     weights = interpolation.expectation_maximisation(cells, np.array([100.0, 5.0, 7.0, 9.0]))
     assert np.allclose(weights.sum(1), 1) and weights[5, 0] > 0.8 and weights[2, 2] > 0.9 and weights[0, 0] == 0
