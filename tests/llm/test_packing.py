@@ -64,7 +64,25 @@ def test_pack_round_trip_and_tree(spark):
     docs = [(k, " ".join(rng.choices(["alpha", "Beta,", "gamma\n", "12", "é"], k=rng.choice([0, 1, 5, 20, 60])))) for k in range(300)]
     docs += [(500, None), (None, "no id"), (7, docs[7][1]), (501, "word " * 5000)]
     frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, bin int").repartition(9)
-    rows = packing.pack(frame, PATH, capacity=64, nearly=62, fan_in=2, residual=50).collect()
+    rows = packing.pack(frame, PATH, capacity=64, nearly=62, fan_in=2).collect()
     bins, tokens = check_rows(rows, docs, 64)
     assert bins <= 1.05 * tokens / 64 + 2
     assert packing.pack(frame.limit(0), PATH).count() == 0
+
+
+def test_units_of_one_task_are_merged(spark):
+    rng = random.Random(9)
+    docs = [(k, " ".join(rng.choices(["alpha", "Beta,", "gamma\n", "12", "é"], k=rng.choice([0, 1, 5, 20, 60])))) for k in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = []
+    for parts, unit in ((1, 1 << 16), (1, 10), (15, 1 << 16), (3, 7)):
+        rows = packing.pack(frame.repartition(parts), PATH, capacity=64, nearly=62, fan_in=4, unit_pieces=unit).collect()
+        counts.append(check_rows(rows, docs, 64)[0])
+    assert max(counts) <= 1.05 * counts[0] + 1
+
+
+def test_best_fit_leaves_one_small_bin():
+    rng = random.Random(3)
+    for _ in range(200):
+        held = packing.best_fit(np.array(rng.choices(range(1, 65), k=rng.randint(1, 80)), np.int64), 64)[2]
+        assert (held <= 32).sum() <= 1
