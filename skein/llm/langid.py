@@ -4,6 +4,8 @@ log posterior = text log-likelihood (byte trigrams, naive Bayes, tempered as tri
               + log p(declared language | language), a confusion table counted over all documents
               + log prior of the address: global -> suffix -> domain -> host, each level's counts of text-only posteriors
                 smoothed towards the level above (Dirichlet, `strength` pseudo-documents).
+What a document itself adds to the confusion table and to its address is taken off before it is judged, so its text
+isn't counted twice.
 An unknown class stands beside the languages: each of its trigrams is as likely as those of the least likely labelled
 texts, less a margin, so a text in none of the languages goes to it, unless it is so short that its declaration and
 address outweigh it.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_tables, materialize, text_slices
+from skein.llm.common import byte_tables, fresh, frugal, materialize, release, text_slices
 
 LANGUAGES = ("de", "en", "es", "fr")
 TABLE_BITS = 16
@@ -72,17 +74,15 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
             for name in set(names):
                 own = np.repeat([x == name for x in names], np.diff(bounds))
                 tables[name] = tables.get(name, 0) + np.bincount(codes[own], minlength=size)
-        if tables:
-            yield pa.RecordBatch.from_arrays([pa.array(list(tables)), pa.array([t.astype("<i8").tobytes() for t in tables.values()], pa.binary())], ["language", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), "<i8") for b in table.column("counts"))
-        return pa.table({"language": table.column("language")[:1].cast(pa.string()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "language string, counts binary"
-    rows = known.select("text", "language").mapInArrow(count, kind).groupBy("language").applyInArrow(add, kind).collect()  # one row for each language
-    found = {r.language: np.frombuffer(r.counts, "<i8") for r in rows}
-    table = np.stack([found.get(name, np.zeros(size)) + 0.5 for name in languages], 1).astype(np.float64)
+        for name, own in tables.items():
+            places = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places)), pa.array(places), pa.array(own[places])], ["language", "place", "n"])
+
+    rows = known.select("text", "language").mapInArrow(frugal(count), "language string, place long, n long").groupBy("language", "place").agg(F.sum("n").alias("n")).toLocalIterator()  # at most `size` for each language
+    found = {name: np.zeros(size) for name in languages}
+    for r in rows:
+        found[r.language][r.place] = r.n
+    table = np.stack([found[name] + 0.5 for name in languages], 1).astype(np.float64)
     held_out = np.log(np.maximum(table - 1, 0.5) / table.sum(0))
 
     def mean(batches):
@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
             total = np.diff(np.r_[0.0, np.cumsum(held_out[codes, np.repeat(own, n)])][bounds])
             yield pa.RecordBatch.from_arrays([pa.array((total / np.maximum(n, 1))[n >= fewest])], ["mean"])
 
-    least = known.select("text", "language").mapInArrow(mean, "mean double").agg(F.percentile_approx("mean", 0.001, 10_000)).first()[0]
+    least = known.select("text", "language").mapInArrow(frugal(mean), "mean double").agg(F.percentile_approx("mean", 0.001, 10_000)).first()[0]
     unknown = np.full((size, 1), NEVER if least is None else least - margin)
     return np.c_[np.log(table / table.sum(0)), unknown].astype(np.float32)
 
@@ -113,7 +113,8 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     """One row per document: id_col, language, posterior, text_language, evidence (trigrams), accepted, text_hash.
 
     A text without trigrams (null, empty, no letters) has no evidence: language is null, and it is not accepted, nor is
-    one whose posterior is below `least`. `unknown`: prior of the unknown class, whose posterior the others share less; it
+    one whose posterior is below `least`. Very long texts are read whole. Of languages that tie the first of `languages`
+    counts. `unknown`: prior of the unknown class, whose posterior the others share less; it
     is as likely to declare any language. Declared languages outside `languages` and null addresses say nothing. Rows
     that repeat are judged one by one; an empty table gives an empty result. text_hash tells apart rows that share an id.
     """
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     columns = ["id", "declared", "host", "domain", "suffix", "text_hash", "evidence", "none", *(f"l{k}" for k in range(n)), *(f"p{k}" for k in range(n))]
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, declared string, host string, domain string, suffix string, text_hash long, evidence long, none double, " + ", ".join(f"l{k} double" for k in range(n)) + ", " + ", ".join(f"p{k} double" for k in range(n))
-    scored = materialize(source.mapInArrow(score, schema), "langid")
+    scored = materialize(source.mapInArrow(frugal(score), schema), "langid")
     masses = [F.sum(f"p{k}").alias(f"p{k}") for k in range(n)]
 
     # One row: the corpus; and at most len(languages) rows of what is declared for each language.
@@ -152,24 +153,30 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     root = root / root.sum()
     stated_rows = {r.declared: [r[f"p{k}"] for k in range(n)] for r in scored.where("declared is not null").groupBy("declared").agg(*masses).collect()}
     confusion = np.array([[stated_rows.get(d, [0.0] * n)[k] + (n - 1.0 if d == names[k] else 1.0) for k in range(n)] for d in names])
-    confusion = np.log(confusion / confusion.sum(0))
 
-    # Each level is smoothed towards the one above it.
-    level = scored.groupBy("suffix", "domain", "host").agg(*masses)
-    above = level.groupBy("suffix").agg(*masses)
-    above = above.select("suffix", *_smoothed(n, strength, [F.lit(float(x)) for x in root], "s"))
-    middle = level.groupBy("suffix", "domain").agg(*masses).join(above, "suffix")
-    middle = middle.select("suffix", "domain", *_smoothed(n, strength, [F.col(f"s{k}") for k in range(n)], "d"))
-    priors = level.join(middle, ["suffix", "domain"]).select("suffix", "domain", "host", *_smoothed(n, strength, [F.col(f"d{k}") for k in range(n)], "h"))
+    # What each level has counted, beside every host.
+    level = materialize(scored.groupBy("suffix", "domain", "host").agg(*masses), "hosts")
+    domains = level.groupBy("suffix", "domain").agg(*(F.sum(f"p{k}").alias(f"d{k}") for k in range(n)))
+    suffixes = level.groupBy("suffix").agg(*(F.sum(f"p{k}").alias(f"s{k}") for k in range(n)))
+    level = level.select("suffix", "domain", "host", *(F.col(f"p{k}").alias(f"h{k}") for k in range(n)))
+    priors = level.join(domains.join(suffixes, "suffix"), ["suffix", "domain"])
 
     def said(k: int) -> Column:
-        out = F.lit(0.0)
+        """log p(declared | language k); the document's own share isn't counted."""
+        own, whole, out = F.col(f"p{k}"), float(confusion[:, k].sum()), F.lit(0.0)
         for d, name in enumerate(names):
-            out = F.when(F.col("declared") == name, F.lit(float(confusion[d, k]))).otherwise(out)
+            out = F.when(F.col("declared") == name, F.log(F.greatest(F.lit(float(confusion[d, k])) - own, F.lit(1e-9)) / F.greatest(F.lit(whole) - own, F.lit(1e-9)))).otherwise(out)
         return out
 
     fused = scored.join(priors, ["suffix", "domain", "host"])
-    fused = fused.withColumns({f"f{k}": F.col(f"l{k}") + said(k) + F.log(F.col(f"h{k}")) for k in range(n)})
+    own_mass = sum((F.col(f"p{k}") for k in range(n)), F.lit(0.0))
+    above: list[Column] = [F.lit(float(x)) for x in root]
+    for prefix in "sdh":
+        # Each level is smoothed towards the one above it.
+        total = sum((F.col(f"{prefix}{k}") for k in range(n)), F.lit(0.0)) - own_mass
+        fused = fused.withColumns({f"{prefix}_{k}": F.greatest((F.col(f"{prefix}{k}") - F.col(f"p{k}") + strength * above[k]) / (total + strength), F.lit(1e-12)) for k in range(n)})
+        above = [F.col(f"{prefix}_{k}") for k in range(n)]
+    fused = fused.withColumns({f"f{k}": F.col(f"l{k}") + said(k) + F.log(F.col(f"h_{k}")) for k in range(n)})
     best = F.greatest(*(F.col(f"f{k}") for k in range(n)))
     total = sum((F.exp(F.col(f"f{k}") - F.col("best")) for k in range(n)), F.exp(F.col("none") - F.when(F.col("declared").isNull(), 0.0).otherwise(float(np.log(n))) - F.col("best")))
     fused = fused.withColumn("best", best).withColumn("posterior", 1.0 / total)
@@ -184,12 +191,12 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     )
 
 
-def _smoothed(n: int, strength: float, above: list[Column], prefix: str) -> list[Column]:
-    total = sum((F.col(f"p{k}") for k in range(n)), F.lit(0.0))
-    return [((F.col(f"p{k}") + strength * above[k]) / (total + strength)).alias(f"{prefix}{k}") for k in range(n)]
-
-
 def keep_identified(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that identify() did not accept. Those are few, so the anti-join broadcasts them when they are small."""
-    gone = materialize(found.where("not accepted").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash")), "left_anti")
+    """docs without the rows that identify() did not accept. Those are few, so the anti-join broadcasts them when they are small.
+
+    Rows that repeat, null ids and any other columns stay as they are; rows of one id are told apart by their texts; an
+    empty table stays empty.
+    """
+    name, mark = fresh("id"), fresh("hash")
+    gone = materialize(found.where("not accepted").select(F.col(id_col).alias(name), F.col("text_hash").alias(mark)).distinct(), "rejected")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col(mark)), "left_anti")
