@@ -1,13 +1,14 @@
 """Personal data: patterns for direct identifiers, and information-theoretic sanitisation of what else reveals them.
 
-An identifier that was found is a protected entity. Over the whole corpus the operator counts how often each term stands
-within `window` words of each entity and how often it occurs at all. From that, PMI(term; entity) = log p(entity | term)
-/ p(entity), and IC(entity) = -log p(entity) is what there is to know. A term that gives away alpha of it,
-PMI >= alpha * IC, in at least `support` documents, discloses the entity; in documents that hold the entity it is a
-span of kind "term". Documents without identifiers are never touched.
+An identifier or secret that was found is a protected entity. Over the whole corpus the operator counts how often each
+term stands within `window` words of each entity and how often it occurs at all. From that, PMI(term; entity) =
+log p(entity | term) / p(entity), and IC(entity) = -log p(entity) is what there is to know. A term that gives away
+alpha of it, PMI >= alpha * IC, in at least `support` documents, discloses the entity; it is a span of kind "term"
+wherever it stands, in documents that name the entity and in those that don't. risk_curve() measures what each alpha
+would take.
 
 Only counts leave a task: terms as 64-bit hashes, summed per task before the shuffle, so a frequent word or entity is
-one row per task. The disclosing pairs are broadcast up to BROADCAST_PAIRS of them; beyond, they join the documents.
+one row per task. The disclosing terms are broadcast up to BROADCAST_TERMS of them; beyond, they join the documents.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import ALNUM_WORDS, Words, materialize, text_slices
+from skein.llm.common import ALNUM_WORDS, Words, fresh, frugal, materialize, release, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-ORDER = {k: n for n, k in enumerate((*KINDS, "term"))}
-BROADCAST_PAIRS = 200_000
+ORDER = {k: n for n, k in enumerate((*KINDS, "secret", "term"))}
+BROADCAST_TERMS = 200_000
 
 # The patterns of direct identifiers.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SECRET = re.compile(r"(?i:(?<![a-z])(?:api[_-]?key|access[_-]?key|token|secret|passwd|password)\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_.~-]{16,})|\b(?P<known>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,})")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -83,9 +85,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
 
 
+def secrets(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of credentials: long values with a digit after a word like token, and those of a known form."""
+    return [("secret", *m.span(m.lastgroup)) for m in SECRET.finditer(text) if re.search("[0-9]", m[m.lastgroup])]
+
+
+def direct_spans(text: str) -> list[tuple[str, int, int]]:
+    """Base spans and secrets; a secret that overlaps a base span stays beside it."""
+    found = base_spans(text)
+    more = secrets(text)
+    return sorted([*found, *more], key=lambda x: (x[1], ORDER[x[0]])) if more else found
+
+
 def entity_key(kind: str, value: str) -> int:
     """64-bit key of an identifier, the same for its spellings (case, separators)."""
-    value = value.lower() if kind in ("email", "ip") else "".join(c for c in value if "0" <= c <= "9")
+    value = value.lower() if kind in ("email", "ip") else value if kind == "secret" else "".join(c for c in value if "0" <= c <= "9")
     return xxhash.xxh64_intdigest(f"{kind}:{value}".encode()) - (1 << 63)
 
 
@@ -139,7 +153,7 @@ def counts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
             sizes.append(np.bincount(codes, minlength=len(values)))
             for i in _suspects(texts).tolist():
                 text = texts[i].as_py()
-                if spans := base_spans(text):
+                if spans := direct_spans(text):
                     inside = Counter(m[0].translate(ASCII_LOWER).encode() for m in TERM.finditer(text))
                     inside.subtract(t for _, _, t in terms(text, spans))
                     keys.append(np.array([term_key(t) for t in inside], np.int64))
@@ -160,7 +174,7 @@ def counts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
         if near:
             yield _near_rows(near)
 
-    return source.mapInArrow(run, "entity long, term long, n long, docs long")
+    return source.mapInArrow(frugal(run), "entity long, term long, n long, docs long")
 
 
 NAMES = ["entity", "term", "n", "docs"]
@@ -175,29 +189,48 @@ def _sum(keys: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, n
     return key, np.bincount(which, np.concatenate(sizes), len(key)).astype(np.int64)
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, alpha: float = 0.95, support: int = 3) -> DataFrame:
-    """(entity, term) pairs where the term discloses the entity."""
+def risks(docs: DataFrame, text_col: str, window: int, support: int) -> DataFrame:
+    """entity, term, n (near the entity), all (occurrences), docs, pmi, ic for the terms near an entity in `support` documents.
+
+    What is released by the caller: the tables it is made of, as out._skein_tables.
+    """
     found = materialize(counts(docs, text_col, window), "counts")
     total = found.where("entity is null").agg(F.sum("n")).first()[0] or 1
     near = found.where("entity is not null").groupBy("entity", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     near = materialize(near, "near")
     entity = near.groupBy("entity").agg(F.sum("n").alias("around"))
     pairs = near.where(f"docs >= {support}")
-    wanted = pairs.select("term").distinct()
+    wanted = pairs.select("term").distinct().hint("merge")  # it grows with the corpus
     overall = found.where("entity is null").select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("all"))
     ic = -F.log(F.col("around") / F.lit(float(total)))
     pmi = F.log(F.col("n") / F.col("all")) + ic
-    return pairs.join(overall, "term").join(entity, "entity").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    out = pairs.join(overall, "term").join(entity, "entity").select("entity", "term", "n", "all", "docs", pmi.alias("pmi"), ic.alias("ic")).where("ic > 0")
+    out._skein_tables = (found, near)
+    return out
+
+
+def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, alpha: float = 0.95, support: int = 3) -> DataFrame:
+    """Terms that disclose an entity, as a table of distinct hashes: term."""
+    found = risks(docs, text_col, window, support)
+    out = materialize(found.where(F.col("pmi") >= alpha * F.col("ic")).select("term").distinct(), "disclosures")
+    release(*found._skein_tables)
+    return out
+
+
+def risk_curve(docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, steps: int = 20) -> DataFrame:
+    """alpha, terms, pairs, occurrences: what a threshold of alpha = 0, 1 / steps, ... 1 would take from the corpus."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("pmi") / F.col("ic")))
+    held = risks(docs, text_col, window, support).select("entity", "term", "all", F.floor(share * steps).cast("int").alias("step"))
+    at = held.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("step"))))
+    per_term = at.groupBy("at", "term").agg(F.count("*").alias("pairs"), F.max("all").alias("all"))
+    return per_term.groupBy((F.col("at") / steps).alias("alpha")).agg(F.count("*").alias("terms"), F.sum("pairs").alias("pairs"), F.sum("all").alias("occurrences"))
 
 
-def all_spans(text: str, revealed: dict[int, set[int]], spans: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
-    """Base spans and spans of the terms that disclose an entity of this text. revealed: entity -> terms."""
-    spans = base_spans(text) if spans is None else spans
-    own = set().union(*(revealed.get(entity_key(k, text[s:e]), ()) for k, s, e in spans)) if spans else set()
-    if not own:
-        return spans
-    more = [("term", s, e) for s, e, t in terms(text, spans) if term_key(t) in own]
-    return sorted([*spans, *more], key=lambda x: (x[1], ORDER[x[0]]))
+def all_spans(text: str, revealing: set[int], spans: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+    """Direct spans and spans of the terms that disclose an entity."""
+    spans = direct_spans(text) if spans is None else spans
+    more = [("term", s, e) for s, e, t in terms(text, spans) if term_key(t) in revealing] if revealing else []
+    return sorted([*spans, *more], key=lambda x: (x[1], ORDER[x[0]])) if more else spans
 
 
 def _listed(spans) -> str:
@@ -215,84 +248,97 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _applied(docs: DataFrame, text_col: str, pairs: DataFrame, fn, schema, columns: list[str], broadcast_pairs: int) -> DataFrame:
-    """fn(record batch, texts, spans of each row) over docs.select(columns). The pairs are broadcast, or beyond broadcast_pairs joined."""
+def _spans_of(texts: pa.Array, revealing) -> list[list[tuple[str, int, int]]]:
+    """All spans of each text. revealing(row): the disclosing terms that it may hold."""
+    spans: list[list[tuple[str, int, int]]] = [[] for _ in range(len(texts))]
+    for i in _suspects(texts).tolist():
+        spans[i] = direct_spans(texts[i].as_py())
+    for i in range(len(texts)):
+        if own := revealing(i):
+            spans[i] = all_spans(texts[i].as_py(), own, spans[i])
+    return spans
+
+
+def _applied(docs: DataFrame, text_col: str, revealing: DataFrame, fn, schema, columns: list[str], broadcast_terms: int) -> DataFrame:
+    """fn(record batch, texts, spans of each row) over docs.select(columns). The terms are broadcast, or beyond broadcast_terms joined."""
     at = columns.index(text_col)
-    pairs = materialize(pairs, "disclosures")
     source = docs.select(*columns)
-    if pairs.limit(broadcast_pairs + 1).count() <= broadcast_pairs:
-        revealed: dict[int, set[int]] = {}
-        for row in pairs.toLocalIterator():
-            revealed.setdefault(row.entity, set()).add(row.term)
-        sent = docs.sparkSession.sparkContext.broadcast(revealed)
+    if revealing.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        sent = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r.term for r in revealing.toLocalIterator()), np.int64))
 
         def run(batches):
+            known = set(sent.value.tolist())
             for rows, texts in text_slices(batches, at):
-                spans = [[] for _ in range(len(texts))]
-                for i in _suspects(texts).tolist():
-                    spans[i] = all_spans(texts[i].as_py(), sent.value)
-                yield fn(rows, texts, spans)
+                hit = set()
+                if known:
+                    words = Words(texts, ALNUM_WORDS)
+                    codes, values = words.codes()
+                    held = np.array([term_key(v) in known for v in values], bool)
+                    doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
+                    hit = set(np.unique(doc[held[codes]]).tolist()) if len(codes) else set()
+                yield fn(rows, texts, _spans_of(texts, lambda i: known if i in hit else None))
+
+        return source.mapInArrow(frugal(run), schema)
 
-        return source.mapInArrow(run, schema)
+    key_name, terms_name = fresh("key"), fresh("terms")
 
     def mentions(batches):
         for _, texts in text_slices(batches, 0):
-            key, entity = [], []
-            for i in _suspects(texts).tolist():
-                text = texts[i].as_py()
-                for e in {entity_key(k, text[s:e]) for k, s, e in base_spans(text)}:
-                    key.append(xxhash.xxh64_intdigest(text.encode()) - (1 << 63))
-                    entity.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(entity, pa.int64())], ["_key", "entity"])
+            words = Words(texts, ALNUM_WORDS)
+            codes, values = words.codes()
+            keys = np.fromiter(map(term_key, values), np.int64, len(values))
+            doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
+            pair = np.unique(np.stack([doc, codes], 1), axis=0) if len(codes) else np.zeros((0, 2), np.int64)
+            own = np.array([xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts.to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own[pair[:, 0]]), pa.array(keys[pair[:, 1]] if len(pair) else keys[:0])], [key_name, "term"])
 
     def keyed(batches):
         for rows, texts in text_slices(batches, at):
             key = [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key, pa.int64())], [*rows.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key, pa.int64())], [*rows.schema.names, key_name])
 
-    own = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(mentions, "_key long, entity long").distinct().join(pairs, "entity")
-    own = own.groupBy("_key").agg(F.collect_list(F.struct("entity", "term")).alias("_pairs"))
-    joined = source.mapInArrow(keyed, T.StructType([*source.schema.fields, T.StructField("_key", T.LongType())])).join(own, "_key", "left").select(*columns, "_pairs")
+    own = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(frugal(mentions), f"{key_name} long, term long").join(revealing, "term").distinct()
+    own = own.groupBy(key_name).agg(F.collect_list("term").alias(terms_name))
+    joined = source.mapInArrow(frugal(keyed), T.StructType([*source.schema.fields, T.StructField(key_name, T.LongType())])).join(own, key_name, "left").select(*columns, terms_name)
 
     def run_joined(batches):
         for rows, texts in text_slices(batches, at):
-            spans = [[] for _ in range(len(texts))]
             held = rows.column(len(columns))
-            for i in _suspects(texts).tolist():
-                revealed = {}
-                for pair in held[i].as_py() or ():
-                    revealed.setdefault(pair["entity"], set()).add(pair["term"])
-                spans[i] = all_spans(texts[i].as_py(), revealed)
-            yield fn(rows.select(list(range(len(columns)))), texts, spans)
+            yield fn(rows.select(list(range(len(columns)))), texts, _spans_of(texts, lambda i: set(held[i].as_py() or ())))
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(frugal(run_joined), schema)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, alpha: float = 0.95, support: int = 3, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """One row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, alpha: float = 0.95, support: int = 3, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """One row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term.
 
-    Null and empty texts have no spans; rows that repeat are judged one by one and null ids stay; other columns aren't
-    read; an empty table gives an empty result. Places are code points, ends exclusive.
+    Null and empty texts have no spans; very long ones are searched whole, in linear time; rows that repeat are judged
+    one by one and null ids stay; of spans that start alike the kinds go in the order email, ip, card, phone, secret,
+    term; other columns aren't read; an empty table gives an empty result. Places are code points, ends exclusive.
     """
-    pairs = disclosures(docs, text_col, window, alpha, support)
+    revealing = disclosures(docs, text_col, window, alpha, support)
     columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"]
+    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_term"]
 
     def fn(rows, texts, spans):
         tally = [Counter(k for k, _, _ in own) for own in spans]
-        base = [hashlib.sha256(_listed(x for x in own if x[0] != "term").encode()).hexdigest() for own in spans]
+        base = [hashlib.sha256(_listed(x for x in own if x[0] in KINDS).encode()).hexdigest() for own in spans]
         return pa.RecordBatch.from_arrays(
-            [rows.column(0), *(pa.array([t[k] for t in tally], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array([_listed(own) for own in spans], pa.string()), pa.array([t["term"] for t in tally], pa.int64())], names
+            [rows.column(0), *(pa.array([t[k] for t in tally], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array([_listed(own) for own in spans], pa.string()), *(pa.array([t[k] for t in tally], pa.int64()) for k in ("secret", "term"))], names
         )
 
     kind = columns.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_term long"
-    return _applied(columns, "text", pairs, fn, schema, ["id", "text"], broadcast_pairs).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_secret long, n_term long"
+    return _applied(columns, "text", revealing, fn, schema, ["id", "text"], broadcast_terms).withColumnRenamed("id", id_col)
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", window: int = 8, alpha: float = 0.95, support: int = 3, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """docs with identifiers masked and disclosing terms generalised; length_col, if there is one, follows the text."""
-    pairs = disclosures(docs, text_col, window, alpha, support)
+def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", window: int = 8, alpha: float = 0.95, support: int = 3, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """docs with identifiers and secrets masked and disclosing terms generalised; length_col, if there is one, follows the text.
+
+    No row goes; null and empty texts, repeated rows and all other columns, whatever their names, stay as they are; very
+    long texts are masked whole; an empty table gives an empty result.
+    """
+    revealing = disclosures(docs, text_col, window, alpha, support)
     columns = docs.columns
     at = columns.index(text_col)
     schema = docs.schema
@@ -314,4 +360,4 @@ def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "
             arrays[k] = pa.array(lengths, rows.schema.field(k).type)
         return pa.RecordBatch.from_arrays(arrays, rows.schema.names)
 
-    return _applied(docs, text_col, pairs, fn, schema, columns, broadcast_pairs)
+    return _applied(docs, text_col, revealing, fn, schema, columns, broadcast_terms)
