@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from skein.llm import decontaminate
 
 
@@ -64,3 +66,43 @@ def test_longest_match(spark):
     doc = "lead in " + " ".join(f"T{k}" for k in range(5, 30)) + " tail"
     row = decontaminate.scan(spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
     assert (row.longest_run, row.longest_run_at, row.n_hit) == (25, 2, 25)
+
+
+def test_suffix_array_and_search_against_plain_python():
+    rng = random.Random(12)
+    for _ in range(60):
+        texts = [" ".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in range(rng.randint(1, 5))]
+        shard = decontaminate.Shard.of(pa.array(texts), 64)
+        assert sorted(shard.array.tolist()) == list(range(len(shard.codes)))
+        suffixes = [shard.codes[p : shard.end[p]].tolist() for p in shard.array]
+        assert suffixes == sorted(suffixes)
+        items = [(k, " ".join(rng.choices("abcd", k=rng.randint(0, 12)))) for k in range(4)]
+        found = decontaminate.Shard.of(pa.array(texts), 4).search(decontaminate.Block(items, 4))
+        for d, text in enumerate(texts):
+            w, longest, held = text.split(), 0, set()
+            for i, t in items:
+                own = t.split()
+                size = min(4, len(own))
+                for p in range(len(w)):
+                    for q in range(len(own) - size + 1 if size else 0):
+                        n = 0
+                        while p + n < len(w) and q + n < len(own) and w[p + n] == own[q + n]:
+                            n += 1
+                        if n >= size:
+                            longest = max(longest, n)
+                            held.add(str(i))
+            got = found.get(d, decontaminate.NOTHING)
+            assert (got[1], got[2]) == (held, longest)
+
+
+def test_a_written_index_gives_the_same_rows(spark):
+    rng = random.Random(2)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=12))) for k in range(9)]
+    docs = [(k, " ".join(rng.choices("abcdefgh", k=40)) + " " + rng.choice(items)[1] * (k % 2)) for k in range(20)] + [(None, None), (30, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.scan(frame, bench).collect()), key=str)
+    for block in (1 << 20, 40):
+        assert sorted(map(tuple, decontaminate.lookup(decontaminate.index(frame), bench, block_chars=block).collect()), key=str) == want
+        assert sorted(map(tuple, decontaminate.scan(frame, bench, block_chars=block).collect()), key=str) == want
+        assert decontaminate.remove_contaminated(frame, bench, block_chars=block).count() == sum(not r[5] for r in want)
