@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize
+from skein.llm.common import frugal, materialize, release
 from skein.llm.components import connected_components
 
 
@@ -91,7 +91,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _bucket_rows(codes_of, threshold: float, sigmas: float):
+def _bucket_rows(codes_of, wire: str, threshold: float, sigmas: float):
     """Rows sorted by (tbl, key, a, b) -> (rep, links, root) of the pairs met there."""
 
     def block(tbl, dim, rep, weight, vectors, tile, sizes):
@@ -137,7 +137,7 @@ def _bucket_rows(codes_of, threshold: float, sigmas: float):
             for dim in np.unique(dims).tolist():
                 groups = dims[starts] == dim
                 rows = np.repeat(groups, sizes)
-                vectors = np.frombuffer(b"".join(v for v, ok in zip(raw, rows.tolist(), strict=True) if ok), "<f8").reshape(-1, dim)
+                vectors = np.frombuffer(b"".join(v for v, ok in zip(raw, rows.tolist(), strict=True) if ok), wire).reshape(-1, dim).astype(np.float64)
                 for r, c, root in block(tbl[rows], dim, rep[rows], weight[rows], vectors, tile[rows], sizes[groups]):
                     yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(c.astype(np.int64)), pa.array(root)], ["rep", "links", "root"])
 
@@ -156,9 +156,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kept: it is that id. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
     do vectors of different dimensions. Copies, repeated rows among them, count each. A null id gets a null component
     unless it links with known ones. `miss`: chance that a pair exactly at the threshold shares no bucket; it falls
-    steeply above. Other columns aren't read; an empty table gives an empty result.
+    steeply above. Ties of ids don't arise, the smallest counts. Other columns aren't read; an empty table gives an
+    empty result.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
+    # Vectors travel in the precision they came in; all sums are in double precision.
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    wire, width = ("<f4", 4) if single else ("<f8", 8)
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def clean(batches):
@@ -166,14 +170,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             out = []
             for v in batch.column(1).to_pylist():
                 x = np.array([np.nan if c is None else c for c in v], np.float64) + 0.0 if v else None
-                out.append(x.tobytes() if x is not None and np.isfinite(x).all() and 0 < float(x @ x) < math.inf else None)
+                out.append(x.astype(wire).tobytes() if x is not None and np.isfinite(x).all() and 0 < float(x @ x) < math.inf else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])
 
-    rows = source.mapInArrow(clean, f"id {kind}, vec binary")
+    rows = source.mapInArrow(frugal(clean), f"id {kind}, vec binary")
     rows = materialize(rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.when(F.col("vec").isNotNull(), F.sha1("vec"))), "vectors")
-    whole = rows.where("vec is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
-    # A class is known by a hash of its content, so ids may repeat or be null.
-    classes = materialize(whole.select(F.xxhash64("h1", "h2").alias("rep"), "h1", "h2", "least", "weight", "vec", F.expr("length(vec) div 8").cast("long").alias("dim")), "classes")
+    valid = rows.where("vec is not null")
+    whole = valid.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    # A class is known by a number of its own, so ids may repeat or be null.
+    classes = materialize(whole.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "least", "weight", "vec", F.expr(f"length(vec) div {width}").cast("long").alias("dim")), "classes")
     n = classes.count()
     tables, bits = plan(n, threshold, miss)
     made: dict[int, Codes] = {}
@@ -188,11 +193,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
                 own = batch.filter(pa.array(dims == dim))
-                x = np.frombuffer(b"".join(own.column(2).to_pylist()), "<f8").reshape(-1, dim)
+                x = np.frombuffer(b"".join(own.column(2).to_pylist()), wire).reshape(-1, dim).astype(np.float64)
                 keys = codes_of(dim).keys(x / np.linalg.norm(x, axis=1)[:, None])
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "dim", "keys"])
 
-    thin = classes.select("rep", "dim", "vec").mapInArrow(key, "rep long, dim long, keys array<long>").select("rep", "dim", F.posexplode("keys").alias("tbl", "key"))
+    thin = classes.select("rep", "dim", "vec").mapInArrow(frugal(key), "rep long, dim long, keys array<long>").select("rep", "dim", F.posexplode("keys").alias("tbl", "key"))
     thin = materialize(thin.select("rep", "dim", F.col("tbl").cast("long"), "key"), "keys")
     sizes = thin.groupBy("dim", "tbl", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = thin.join(sizes, ["dim", "tbl", "key"])
@@ -204,12 +209,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     full = calm.unionByName(hot).join(classes.select("rep", "weight", "vec"), "rep")
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // 200_000))
     dealt = full.select("tbl", "key", "a", "b", "dim", "rep", "weight", "tile", "vec").repartition(parts, "tbl", "key", "a", "b", "dim").sortWithinPartitions("tbl", "key", "a", "b", "dim")
-    found = materialize(dealt.mapInArrow(_bucket_rows(codes_of, threshold, sigmas), "rep long, links long, root long"), "links")
+    found = materialize(dealt.mapInArrow(frugal(_bucket_rows(codes_of, wire, threshold, sigmas)), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = connected_components(found, "rep", "root")
+    comps = materialize(connected_components(found, "rep", "root"), "components")
     known = classes.select("rep", "h1", "h2", "least", "weight").join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.withColumn("component", F.coalesce("component", "rep"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(least, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id")
-    out = rows.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    out = valid.select("id", "h1", "h2").join(known, ["h1", "h2"]).select("id", "links", "component_id")
+    out = out.unionByName(rows.where("vec is null").select("id", F.lit(None).cast("long").alias("links"), F.lit(None).cast(kind).alias("component_id")))
+    out = materialize(out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "deduplicated")
+    release(rows, classes, thin, found, comps)
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
