@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from skein.llm import decontaminate, html_text, interpolation, langid, packing, passages, pii, rabitq, simhash, url_rules
+from skein.llm import decontaminate, html_text, interpolation, langid, oracles, packing, passages, pii, rabitq, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, declared=F.col("lang"), address=F.col("source")).drop("text_hash")
 
 
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its main text, the language its markup declares, and its URL's suffix, domain and host.
+
+    The trigrams are learned from documents; pages give the confusion table of the markup and the priors of the hosts.
+    """
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = langid.fit(docs.select("text", F.col("lang").alias("language")))
+    texts = html_text.extract(pages.select("page_id", "url", "html", langid.declared_language(F.col("html")).alias("declared")), keep=("url", "declared"))
+    return langid.identify(texts, model, declared=F.col("declared"), address=F.col("url"), id_col="page_id").drop("text_hash")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted-interpolation scores of all documents."""
     return interpolation.score(_table(spark, sf_dir, "documents"))
@@ -42,7 +53,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return html_text.extract(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, model=html_text.fit(pages))
 
 
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +73,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all page URLs; association rules are mined from the pages whose id is labelled (bad: toxic or of low quality)."""
+    """Verdicts on all page URLs; association rules are mined from the URLs that the listed rules decide, and judge the others."""
     pages = _table(spark, sf_dir, "pages")
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    mined = url_rules.mine(pages.select("page_id", "url").join(labels, "page_id").select("url", "bad"))
-    return url_rules.judge(pages, URL_RULES, mined)
+    return url_rules.judge(pages, URL_RULES, url_rules.mine(url_rules.decided(pages, URL_RULES)))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +83,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_pii_sanitisation, op7_best_fit_packing, op8_substring_dedup, op9_url_filters, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, pages_language, op2_lm_scoring, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_pii_sanitisation, op7_best_fit_packing, op8_substring_dedup, op9_url_filters, op10_benchmark_decontamination)}
 
 
-#: The corpus operators hash, decode and cluster beyond what SQL states; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others hash, decode and cluster beyond what SQL states; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op9_url_filters": oracles.OP9}

@@ -2,7 +2,9 @@
 
 FP-growth mines token combinations from labelled URLs; rules that conclude the label "block" and pass the confidence
 and support bounds are matched by an inverted index: each rule stands under its rarest token, a URL meets only the rules
-under its own tokens, and a rule fires if the URL has all the others too.
+under its own tokens, and a rule fires if the URL has all the others too. A rule that holds all tokens of another one is
+left out: wherever it fires, so does the other. Labels come from the caller; the URLs that the explicit rules decide are
+labelled rows for those that they leave open (decided()).
 """
 
 from __future__ import annotations
@@ -44,11 +46,20 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8, max_tokens: int = 4) -> DataFrame:
+def decided(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
+    """(url, bad) of the rows that a listed rule decides: labels for mine(). Repeated URLs count as often as they stand there."""
+    host, path = host_and_path(F.col("url"))
+    verdict = listed_rule(F.col("host"), F.col("path"), rules)[1]
+    found = pages.select(F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path}).withColumn("verdict", verdict)
+    return found.where("verdict is not null").select("url", (F.col("verdict") == "block").alias("bad"))
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """Rules from labelled URLs (url, bad): key (the rarest token), tokens, confidence, support.
 
-    min_support: share of labelled URLs that have the tokens and the label; min_count: so many at least. Rules of more than max_tokens tokens are
-    left out, as are those that hold no more often than a rule of fewer tokens would by itself (lift at most 1).
+    A set of tokens is a rule if min_count labelled URLs and a share min_support of them have it and the label, and a
+    share min_confidence of those that have it have the label, more than of all. Rules with all tokens of another rule
+    are left out. Null URLs and labels don't count; repeated rows do; an empty table gives no rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -62,11 +73,14 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, m
         return spark.createDataFrame([], kind)
     min_support = max(min_support, min_count / n)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK_ITEM) & (F.size("antecedent") <= max_tokens) & (F.col("lift") > 1))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    rules = model.associationRules.where(F.array_contains("consequent", BLOCK_ITEM) & (F.col("lift") > 1)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = rules.select("*", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "confidence", "support")
-    return rarest.agg(F.min_by("token", F.struct("freq", "token")).alias("key")).select("key", "tokens", "confidence", "support")
+    keyed = materialize(rarest.agg(F.min_by("token", F.struct("freq", "token")).alias("key")).select("key", "tokens", "confidence", "support"), "mined")
+    smaller = keyed.select(F.col("key").alias("token"), F.col("tokens").alias("part"))
+    larger = keyed.select("tokens", F.explode("tokens").alias("token")).join(smaller, "token")
+    larger = larger.where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens").distinct()
+    return keyed.join(larger, "tokens", "left_anti").select("key", "tokens", "confidence", "support")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -74,7 +88,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame,
 
     A listed rule decides where one fits; else a mined rule blocks; else the default holds. Null URLs and URLs without
     `://` have empty host and path and get the default unless a mined rule fits. Repeated rows stay and repeated URLs
-    are matched once. Other columns aren't read; an empty table gives an empty result.
+    are matched once; very long URLs are matched whole. Other columns aren't read; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)

@@ -61,6 +61,84 @@ def test_texts_in_no_known_language_are_not_accepted(spark):
     assert sum(r.accepted for r in own) >= 0.99 * len(own)
 
 
+def held_out_accuracy(spark, declared, address):
+    """Share of right languages for texts of three words, labels of which the model never sees."""
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000 and length(text) > 300").orderBy("doc_id").collect()
+    hosts = {"en": "a.example.com", "de": "b.example.de", "fr": "c.example.fr", "es": "d.example.com"}
+    learned, rows = [], []
+    for r in docs:
+        if r.doc_id % 5:
+            learned.append((r.text, r.lang))
+        else:
+            words = r.text.split()
+            at = rng.randint(0, len(words) - 4)
+            said = r.lang if rng.random() < 0.8 else rng.choice(list(hosts))
+            where = hosts[r.lang if rng.random() < 0.9 else rng.choice(list(hosts))]
+            rows.append((r.doc_id, " ".join(words[at : at + 1]), said, where, r.lang))
+    model = langid.fit(spark.createDataFrame(learned, "text string, language string"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, said string, place string, truth string")
+    got = {r.doc_id: r.language for r in langid.identify(frame, model, declared=F.col("said") if declared else None, address=F.col("place") if address else None).collect()}
+    return sum(got[r[0]] == r[4] for r in rows) / len(rows)
+
+
+def test_each_evidence_raises_held_out_accuracy_on_short_texts(spark):
+    alone, said, place, both = (held_out_accuracy(spark, d, a) for d, a in ((False, False), (True, False), (False, True), (True, True)))
+    print(f"held-out accuracy: text {alone:.3f}, with declaration {said:.3f}, with address {place:.3f}, with both {both:.3f}")
+    assert alone < min(said, place) and max(said, place) <= both
+
+
+def test_a_document_does_not_raise_its_own_prior(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(WORDS["en"], k=12)), None, "http://big.com/") for k in range(60)] + [(100, "der und", None, "http://own.net/"), (101, "der und", None, "http://big.com/")]
+    rows += [(200 + k, " ".join(rng.choices(WORDS["de"], k=12)), None, "http://de.org/") for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labelled = frame.select("text", F.when(F.col("doc_id") < 100, "en").otherwise("de").alias("language"))
+    got = {r.doc_id: r.posterior for r in langid.identify(frame, langid.fit(labelled), declared=F.col("lang"), address=F.col("source")).collect()}
+    # Nobody else is on own.net: its prior is that of all documents, as if it had no address.
+    alone = {r.doc_id: r.posterior for r in langid.identify(frame.withColumn("source", F.when(F.col("doc_id") != 100, F.col("source"))), langid.fit(labelled), declared=F.col("lang"), address=F.col("source")).collect()}
+    assert abs(got[100] - alone[100]) < 1e-9 and got[101] < got[100]
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "the and of", "en", 1, 2), (1, "the and of", "en", 1, 2), (2, "12", "en", 1, 2), (None, None, None, 1, 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, _id int, _hash int")
+    found = langid.identify(frame, langid.fit(frame.select("text", F.col("lang").alias("language"))), declared=F.col("lang"))
+    kept = langid.keep_identified(frame, found)
+    assert kept.columns == frame.columns and [r.doc_id for r in kept.collect()] == [1, 1]
+
+
+def test_rules_are_the_smallest_sets_that_pass(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(800):
+        parts = sorted(rng.sample("abcdefg", rng.randint(1, 6)))
+        rows.append(("http://h.org/" + "/".join(parts), set("abcde") <= set(parts) or set("fg") <= set(parts) or rng.random() < 0.05))
+    got = {tuple(r.tokens): r.confidence for r in url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_count=5, min_confidence=0.8).collect()}
+    tokens = [({"host:h", "host:org", *("path:" + p for p in u.split("/")[3:])}, bad) for u, bad in rows]
+    names = sorted(set().union(*(t for t, _ in tokens)))
+    share = sum(b for _, b in tokens) / len(tokens)
+    passing = {}
+    for k in range(1, 1 << len(names)):
+        own = {n for j, n in enumerate(names) if k >> j & 1}
+        have = [b for t, b in tokens if own <= t]
+        if sum(have) >= 5 and sum(have) / len(have) >= 0.8 and sum(have) / len(have) > share:
+            passing[frozenset(own)] = sum(have) / len(have)
+    want = {tuple(sorted(s)): c for s, c in passing.items() if not any(o < s for o in passing)}
+    assert any(len(t) > 4 for t in want) and got == want
+
+
+def test_labels_from_listed_rules_and_their_precision(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labelled = url_rules.decided(pages, queries.URL_RULES).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(2)))
+    test = labelled.where("fold = 1").select(F.monotonically_increasing_id().alias("page_id"), "url", "bad").cache()
+    judged = url_rules.judge(test, [], url_rules.mine(labelled.where("fold = 0"))).join(test.select("page_id", "bad"), "page_id").collect()
+    blocked = [r.bad for r in judged if r.verdict == "block"]
+    print(f"held-out precision {sum(blocked) / len(blocked):.3f}, recall {sum(blocked) / sum(r.bad for r in judged):.3f}")
+    assert sum(blocked) / len(blocked) > 0.9 and sum(blocked) == sum(r.bad for r in judged)
+    assert sum(r.confidence is not None for r in queries.op9_url_filters(spark, "/root/testdata/sf0.01").collect()) > 0
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/1", "https://www.EXAMPLE.com/en/x?q#f", "http://shop.com", "http://shop.com/", "http://x.net/fr/9", "http://x.net/en/9", None, "no scheme", "http://h.org?x=/y", "http://bad.org/spam/77?utm=1", "ftp://notexample.com/en/"]
     pages = spark.createDataFrame([(k, u, "r") for k, u in enumerate([*urls, urls[9]])], "page_id long, url string, rule string")
