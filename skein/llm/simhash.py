@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE_WORDS, Words, materialize, text_slices
+from skein.llm.common import SPACE_WORDS, Words, fresh, frugal, materialize, text_slices
 from skein.llm.components import connected_components
 
 #: (length, generator polynomial of the cyclic code, covering radius); all three are perfect.
@@ -65,7 +65,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for rows, texts in text_slices(batches, 1):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints(texts, shingle).view(np.int64))], ["id", "fp"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 @lru_cache(maxsize=None)
@@ -152,12 +152,12 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, bucket: int = 16) -> D
                 rows, words = anchors(part, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(part[rows].view(np.int64)), pa.array(words.view(np.int64))], ["fp", "anchor"])
 
-    sent = fps.select("fp").mapInArrow(replicate, "fp long, anchor long")
+    sent = fps.select("fp").mapInArrow(frugal(replicate), "fp long, anchor long")
     shared = materialize(sent.groupBy("anchor").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "anchors")
     two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     more = sent.join(shared.where("n > 2").select("anchor", "n"), "anchor")
     few = more.where(f"n <= {bucket}").groupBy("anchor").agg(F.collect_list("fp").alias("fps")).select("fps")
-    few = few.mapInArrow(lambda batches: _pairs(batches, threshold), "a long, b long")
+    few = few.mapInArrow(frugal(lambda batches: _pairs(batches, threshold)), "a long, b long")
     hot = more.where(f"n > {bucket}").select("fp").distinct()
     points = F.array(F.lit(0).cast("long"))
     for weight in range(1, threshold // 2 + 1):
@@ -172,7 +172,7 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, bucket: int = 16) -> D
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3, bucket: int = 16) -> DataFrame:
     """One row per document: id_col, fingerprint (16 lower-case hex digits), component_id (smallest reachable id).
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows stay; a null id takes part with
+    Null and empty texts have fingerprint zero and link like any other; very long ones are read whole, as one slice. Repeated rows stay; a null id takes part with
     its fingerprint but is never a component's id where another is known. Other columns aren't read. An empty table
     gives an empty result.
     """
@@ -188,16 +188,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
     """docs with one document of each group of near-duplicates: that of the smallest id.
 
-    Of rows that share that id one stays. Rows with a null id have no identity and stay.
+    Of rows that share that id one stays. Rows with a null id have no identity and stay, whatever their text; null,
+    empty and very long texts are as in near_duplicates(). Other columns stay, whatever their names; an empty table
+    stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, threshold).select(F.col(id_col).alias("_id"), "component_id")
-    found = materialize(found.groupBy("_id", "component_id").agg(F.count("*").alias("n")), "keep")
-    first = found.where("_id = component_id").groupBy("_id").agg(F.sum("n").alias("n"))
-    kept = docs.join(first.select("_id"), F.col(id_col) == F.col("_id"), "left_semi")
-    repeated = found.where("_id is not null").groupBy("_id").agg(F.sum("n").alias("n")).where("n > 1").select("_id")
+    own = fresh("id")
+    found = near_duplicates(docs, id_col, text_col, threshold).select(F.col(id_col).alias(own), "component_id")
+    found = materialize(found.groupBy(own, "component_id").agg(F.count("*").alias("n")), "keep")
+    mine, named = F.col(id_col) == F.col(own), F.col(own).isNotNull()
+    # The kept ids grow with the documents: always a sort-merge join, not a broadcast that only small inputs would get.
+    first = found.where(F.col(own) == F.col("component_id")).select(own).distinct().hint("merge")
+    kept = docs.join(first, mine, "left_semi")
+    repeated = found.where(named).groupBy(own).agg(F.sum("n").alias("n")).where("n > 1").select(own)
     if repeated.head(1):
-        once = kept.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
-        kept = once.unionByName(kept.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]))
-    if found.where("_id is null").head(1):
+        once = kept.join(repeated, mine, "left_anti")
+        kept = once.unionByName(kept.join(repeated, mine, "left_semi").dropDuplicates([id_col]))
+    if found.where(~named).head(1):
         kept = kept.unionByName(docs.where(F.col(id_col).isNull()))
     return kept

@@ -52,6 +52,21 @@ def test_every_pair_within_threshold_meets_at_an_anchor():
         assert set(words[rows == 0].tolist()) & set(words[rows == 1].tolist())
 
 
+def test_every_word_is_within_the_covering_radius():
+    """So the midpoint of any two fingerprints within the threshold has an anchor within radius, and they within radius + half of it."""
+    for length, generator, radius in simhash.CODES:
+        bits, (starts, *_) = simhash._patterns(length, generator, radius, 0)
+        assert len(set(bits.tolist())) == length
+        assert (np.diff(starts[0]) >= 1).all()  # each syndrome has an error pattern of weight radius or less
+        assert 1 << (length - len(bin(generator)) + 3) == (1 << length) // (len(starts[0]) - 1)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d", 1, 2), (2, "a b c d", 1, 2), (2, "a b c d", 1, 2), (3, "other words stand here", 1, 2)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id int, component_id int"))
+    assert kept.columns == ["doc_id", "text", "_id", "component_id"] and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_components_on_clusters_and_hot_anchors(spark):
     rng = random.Random(5)
     fps, at = {}, 0
