@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,38 +53,31 @@ def prose_runs(elements: DataFrame) -> DataFrame:
     return elements.withColumn("run", F.sum(F.when(F.col("kind").isin("table", "figure", "chart", "diagram"), 1).otherwise(0)).over(w))
 
 
-def pack_sentences(pieces: list[tuple[str, str]], target: int = 384, overlap: int = 64) -> list[tuple[str, list[str], int]]:
-    """(body, element ids, tokens) of chunks from (sentence, element id) pieces.
+def cuts(sizes: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of pieces that make up chunks, from the running total of their sizes.
 
-    A chunk closes before it would pass the target; the next one starts with the last whole sentences of at most
-    `overlap` tokens, one at least. A single sentence over the target is a chunk without overlap.
+    A chunk reaches as far as the target allows, or one new piece. The next one starts with the last whole pieces of at
+    most `overlap`, one at least and never all of them; without overlap, and after a piece that fills the target alone,
+    it starts afresh.
     """
-    out: list[list[tuple[str, str]]] = []
-    now: list[tuple[str, str]] = []
-    size = 0
-    for piece in pieces:
-        n = count_tokens(piece[0])
-        if now and size + n > target:
-            out.append(now)
-            tail = [now[-1]]
-            held = count_tokens(now[-1][0])
-            for before in reversed(now[1:-1] if len(now) > 1 else []):
-                held += count_tokens(before[0])
-                if held > overlap:
-                    break
-                tail.insert(0, before)
-            now, size = tail, sum(count_tokens(p[0]) for p in tail)
-        now.append(piece)
-        size += n
-        if size >= target and len(now) == 1:
-            out.append(now)
-            now, size = [], 0
-    if now:
-        out.append(now)
+    total = [0, *accumulate(sizes)]
+    out: list[tuple[int, int]] = []
+    start = new = 0  # where the chunk starts, and its first piece that no chunk has yet
+    while new < len(sizes):
+        alone = start == new and sizes[new] >= target
+        end = new + 1 if alone else max(new + 1, bisect_right(total, total[start] + target) - 1)
+        out.append((start, end))
+        tail = end if alone or overlap <= 0 else min(end - 1, bisect_left(total, total[end] - overlap))
+        start, new = (end - 1 if tail <= start else tail) if tail < end else end, end
+    return out
+
+
+def pack_sentences(pieces: list[tuple[str, str]], target: int = 384, overlap: int = 64) -> list[tuple[str, list[str], int]]:
+    """(body, element ids, tokens) of chunks from (sentence, element id) pieces; see cuts()."""
     chunks = []
-    for own in out:
-        body = " ".join(p[0] for p in own)
-        chunks.append((body, list(dict.fromkeys(p[1] for p in own)), count_tokens(body)))
+    for a, b in cuts([count_tokens(s) for s, _ in pieces], target, overlap):
+        body = " ".join(s for s, _ in pieces[a:b])
+        chunks.append((body, list(dict.fromkeys(e for _, e in pieces[a:b])), count_tokens(body)))
     return chunks
 
 
@@ -103,20 +98,22 @@ def pack_prose(elements: DataFrame, target: int = 384, overlap: int = 64) -> Dat
 
 
 def split_table(caption: str, columns: list[str], rows: list[list[str | None]], limit: int = 1024) -> list[tuple[int | None, str]]:
-    """(part, text) of a table: whole if it fits, else rows in batches under a repeated header."""
-
-    def shown(batch: list[list[str | None]]) -> str:
-        lines = ["| " + " | ".join((c or "").replace("|", "\\|").replace("\n", " ") for c in r) + " |" for r in (columns, ["---"] * len(columns), *batch)]
-        return "\n".join([*([caption] if caption else []), *lines])
-
-    if count_tokens(shown(rows)) <= limit:
-        return [(None, shown(rows))]
-    out: list[tuple[int | None, str]] = []
-    batch: list[list[str | None]] = []
-    for row in rows:
-        if batch and count_tokens(shown([*batch, row])) > limit:
-            out.append((len(out) + 1, shown(batch)))
-            batch = []
-        batch.append(row)
-    out.append((len(out) + 1 if out else None, shown(batch)))
-    return out
+    """(part, text) of a table: whole if it fits, else rows in batches under a repeated header; a batch has one row at least.
+
+    Tokens don't cross lines, so a batch's pieces are the sum of its lines' pieces.
+    """
+
+    def line(cells: list[str | None]) -> str:
+        return "| " + " | ".join((c or "").replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+
+    head = [*([caption] if caption else []), line(columns), line(["---"] * len(columns))]
+    lines = [line(r) for r in rows]
+    fixed = sum(len(PIECES.findall(x)) for x in head)
+    total = [0, *accumulate(len(PIECES.findall(x)) for x in lines)]
+    room = next(k for k in range(int((limit + 1) / SUBWORD_FACTOR) + 1, -1, -1) if math.floor(k * SUBWORD_FACTOR) <= limit) - fixed
+    bounds = [0]
+    while bounds[-1] < len(lines):
+        bounds.append(max(bounds[-1] + 1, bisect_right(total, total[bounds[-1]] + room) - 1))
+    if len(bounds) <= 2:
+        return [(None, "\n".join([*head, *lines]))]
+    return [(k, "\n".join([*head, *lines[a:b]])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]), 1)]

@@ -1,14 +1,50 @@
-"""BM25 over a token table: postings are built once and scored for a batch of queries."""
+"""BM25: postings are built once, as tables, and scored for batches of queries.
+
+An index is three tables: postings (chunk_id, term, tf, n_tokens), terms (term, df) and one row of corpus figures. Build
+splits every text once. A search reads the postings of the queries' terms only (a broadcast set of checked size, else a
+semi-join), puts each chunk's weights into one row, and multiplies blocks of chunks with blocks of queries, so no row per
+query, chunk and term is ever made; what leaves a task are its best k chunks of each query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import lexical_tokens
+from skein.operators.blocks import best_rows
 from skein.operators.ranking import top_k
 
 K1, B = 1.5, 0.75
+#: Query terms that are broadcast; beyond, the postings meet them in a join.
+BROADCAST_TERMS = 200_000
+#: Queries that one pass scores.
+QUERY_BLOCK = 2_000
+
+
+@dataclass
+class LexicalIndex:
+    """postings: chunk_id, term, tf, n_tokens; terms: term, df; n_docs counts chunks without tokens too."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    avg_tokens: float
+
+    def save(self, path: str) -> None:
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        corpus = self.postings.sparkSession.createDataFrame([(self.n_docs, self.avg_tokens)], "n_docs long, avg_tokens double")
+        corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        corpus = spark.read.parquet(f"{path}/corpus").first()
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), corpus.n_docs, corpus.avg_tokens)
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,6 +54,29 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("chunk_id", "n_tokens", "term").agg(F.count("term").alias("tf"))
 
 
+def build(chunks: DataFrame, id_col: str, text_col: str, path: str | None = None) -> LexicalIndex:
+    """The index of a chunk table, written to path and read back (without one: plans over the chunks).
+
+    Ids must not repeat and there must be chunks; both are checked against what was written.
+    """
+    own = postings(chunks, id_col, text_col)
+    if path is not None:
+        own.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        own = chunks.sparkSession.read.parquet(f"{path}/postings")
+    per_chunk = own.groupBy("chunk_id").agg(F.count_distinct("n_tokens").alias("texts"), F.max("n_tokens").alias("n_tokens"))
+    figures = per_chunk.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("a"), F.max("texts").alias("texts")).first()
+    if not figures.n:
+        raise ValueError("an index needs chunks")
+    if figures.texts > 1:
+        raise ValueError("chunk ids repeat")
+    index = LexicalIndex(own.where("term is not null"), own.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), figures.n, figures.a)
+    if path is not None:
+        index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        chunks.sparkSession.createDataFrame([(index.n_docs, index.avg_tokens)], "n_docs long, avg_tokens double").write.mode("overwrite").parquet(f"{path}/corpus")
+        index = LexicalIndex.load(chunks.sparkSession, path)
+    return index
+
+
 def corpus_size(chunks: DataFrame, text_col: str) -> DataFrame:
     """One row: n_docs, avg_tokens."""
     return chunks.agg(F.count("*").alias("n_docs"), F.avg(F.size(lexical_tokens(F.col(text_col)))).alias("avg_tokens"))
@@ -38,18 +97,82 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(lexical_tokens(F.col(text_col)))).alias("term"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, chunk_text: str, query_id: str, query_text: str, k1: float = K1, b: float = B) -> DataFrame:
+def search(index: LexicalIndex, queries: DataFrame, k: int, query_id: str, query_text: str, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, chunk_id, score, rank: the k best chunks of each query, score above 0.
 
-    Only postings of query terms leave the scan: the semi-join drops all other tokens before the shuffle. Repeated
-    query terms count once. Ties go to the smaller chunk id; scores are compared at six digits.
+    Repeated query terms count once; document frequencies are those of the whole index, also where `allowed` (chunk_id)
+    narrows what may be found. Ties go to the smaller chunk id; scores are compared at six digits.
     """
     wanted = query_terms(queries, query_id, query_text)
-    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), lexical_tokens(F.col(chunk_text)).alias("tokens"))
-    terms = tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
-    hits = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(corpus_size(chunks, chunk_text)))
+    spark = queries.sparkSession
+    rows = wanted.limit(BROADCAST_TERMS + 1).collect()
+    id_kind = queries.schema[query_id].dataType.simpleString()
+    chunk_kind = index.postings.schema["chunk_id"].dataType.simpleString()
+    schema = f"query_id {id_kind}, chunk_id {chunk_kind}, score double"
+    if len(rows) > BROADCAST_TERMS:
+        return _search_by_join(index, wanted, k, allowed, k1, b)
+    if not rows:
+        return top_k(spark.createDataFrame([], schema), k)
+    names = sorted({r.term for r in rows})
+    number = {t: n for n, t in enumerate(names)}
+    terms = spark.createDataFrame(list(number.items()), "term string, no int")
+    hits = index.postings.join(F.broadcast(terms), "term")
+    if allowed is not None:
+        hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    df = {r.no: r.df for r in index.terms.join(F.broadcast(terms), "term").select("no", "df").collect()}  # one row a query term
+    weight = np.array([np.log(1 + (index.n_docs - df.get(n, 0) + 0.5) / (df.get(n, 0) + 0.5)) for n in range(len(names))])
+    tf = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("n_tokens") / F.lit(float(index.avg_tokens))))
+    chunks = hits.groupBy("chunk_id").agg(F.collect_list("no").alias("nos"), F.collect_list(tf).alias("parts"))
+    ids = sorted({r.query_id for r in rows})
+    place = {q: n for n, q in enumerate(ids)}
+    blocks = []
+    for at in range(0, len(ids), QUERY_BLOCK):
+        own = [(place[r.query_id] - at, number[r.term]) for r in rows if at <= place[r.query_id] < at + QUERY_BLOCK]
+        used = sorted({t for _, t in own})
+        blocks.append((ids[at : at + QUERY_BLOCK], np.array(used), np.array([(q, used.index(t)) for q, t in own]) if len(used) < 2000 else _pairs(own, used)))
+    sent = spark.sparkContext.broadcast((blocks, weight))
+
+    def score(batches):
+        blocks, weight = sent.value
+        for batch in batches:
+            ids_here, lists, parts = batch.column(0), batch.column(1), batch.column(2)
+            owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            nos, values = lists.flatten().to_numpy(), parts.flatten().to_numpy()
+            values = values * weight[nos]
+            for names_here, used, pairs in blocks:
+                at = np.searchsorted(used, nos)
+                at[at == len(used)] = 0
+                ok = used[at] == nos
+                if not ok.any():
+                    continue
+                matrix = np.zeros((len(batch), len(used)))
+                matrix[owner[ok], at[ok]] = values[ok]
+                asked = np.zeros((len(used), len(names_here)))
+                asked[pairs[:, 1], pairs[:, 0]] = 1.0
+                yield best_rows(matrix @ asked, ids_here, names_here, k, lambda s: s > 0, id_type, chunk_type)
+
+    id_type, chunk_type = (pa.int64() if t in ("bigint", "int", "smallint", "tinyint") else pa.string() for t in (id_kind, chunk_kind))
+    cast = f"query_id {'long' if id_type == pa.int64() else 'string'}, chunk_id {'long' if chunk_type == pa.int64() else 'string'}, score double"
+    found = chunks.mapInArrow(score, cast).select(F.col("query_id").cast(id_kind).alias("query_id"), F.col("chunk_id").cast(chunk_kind).alias("chunk_id"), F.round("score", 6).alias("score"))
+    return top_k(found.where("score > 0"), k)
+
+
+def _pairs(own: list[tuple[int, int]], used: list[int]) -> np.ndarray:
+    place = {t: n for n, t in enumerate(used)}
+    return np.array([(q, place[t]) for q, t in own])
+
+
+def _search_by_join(index: LexicalIndex, wanted: DataFrame, k: int, allowed: DataFrame | None, k1: float, b: float) -> DataFrame:
+    """The same for more query terms than are broadcast."""
+    hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    if allowed is not None:
+        hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    weighed = hits.join(index.terms, "term").withColumns({"n_docs": F.lit(index.n_docs), "avg_tokens": F.lit(float(index.avg_tokens))})
     part = idf() * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("n_tokens") / F.col("avg_tokens")))
     scored = weighed.select("chunk_id", "term", part.alias("part")).join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored.where("score > 0"), k)
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, chunk_text: str, query_id: str, query_text: str, k1: float = K1, b: float = B) -> DataFrame:
+    """search() over an index of the chunks that isn't kept."""
+    return search(build(chunks, chunk_id, chunk_text), queries, k, query_id, query_text, k1=k1, b=b)

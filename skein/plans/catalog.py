@@ -8,16 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import classify, geometry, text
-from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, production, ranking, relational, understanding
+from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, production, ranking, relational, retrieval, understanding
+from skein.sources import store
 from skein.streaming import latency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
 def query(oracle: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir), spark)
         if oracle:
             ORACLES[fn.__name__] = oracle
         return fn
@@ -42,8 +53,19 @@ COSINE = "list_sum(list_transform(generate_series(1, len({0})), lambda i: CAST({
 DENSE_SELECT = f"SELECT q.vec_id query_id, v.vec_id chunk_id, round({COSINE.format('v.embedding', 'q.embedding')}, 6) score, q.label ql, v.label vl FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0"
 
 
-def bm25_hits(t, k: int = 10, docs: DataFrame | None = None) -> DataFrame:
-    return lexical.bm25(docs if docs is not None else t("documents"), t("benchmark"), k, "doc_id", "text", "item_id", "text")
+_INDEXES: dict[tuple[str, str], lexical.LexicalIndex] = {}
+
+
+def document_index(t: Tables) -> lexical.LexicalIndex:
+    """The lexical index of the documents: written once for each folder and application, read by every query."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build(t("documents"), "doc_id", "text", store.workspace(t.spark, "lexical"))
+    return _INDEXES[key]
+
+
+def bm25_hits(t: Tables, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    return lexical.search(document_index(t), t("benchmark"), k, "item_id", "text", allowed)
 
 
 def dense_queries(t) -> DataFrame:
@@ -95,7 +117,7 @@ def dense_top10(t, spark):
 
 @query(f"SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM ({DENSE_SELECT}) WHERE ql = vl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
 def dense_filtered(t, spark):
-    return dense.dense_top_k(vectors(t), dense_queries(t), 10, exclude_self=True, condition=F.col("label") == F.col("query_label"))
+    return dense.dense_top_k(vectors(t), dense_queries(t), 10, exclude_self=True, match=("label", "query_label"))
 
 
 DOT = "list_sum(list_transform(generate_series(1, len({0})), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
@@ -108,7 +130,7 @@ r AS (SELECT query_id, page_id, score, CAST(row_number() OVER (PARTITION BY quer
 def page_hits(t) -> DataFrame:
     tokens = t("embeddings").where("vec_id % 100 = 0 or vec_id % 100 = 50").select(F.expr("vec_id div 100").alias("query_id"), F.col("vec_id").alias("token_id"), F.col("embedding").alias("query_vec"))
     pages = t("embeddings").select(F.expr("vec_id div 10").alias("page_id"), F.col("embedding").alias("vec"))
-    return ranking.top_k(dense.maxsim(pages, tokens), 10, [F.col("score").desc(), F.col("page_id")])
+    return ranking.top_k(dense.maxsim(pages, tokens, 10), 10, [F.col("score").desc(), F.col("page_id")])
 
 
 @query(MAXSIM_CTE + " SELECT * FROM r")
@@ -127,22 +149,54 @@ def minmax_normalize(t, spark):
     return ranking.normalize_scores(bm25_hits(t)).select("query_id", "chunk_id", F.round("normalized", 6).alias("normalized"))
 
 
-# ---- fusion: a lexical list, a list of the longest documents of the query's first term bucket, and their modalities
+# ---- fusion: hybrid retrieval. The vector of document d is that of vec_id = d, the vector of an item that of vec_id =
+# item_id; documents of even-numbered sources play the tables, found by both kinds of search as a modality of their own.
 
-LISTS_CTE = BM25_CTE + """,
+TABLE_DOCS = "try_cast(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 = 0"
+LISTS_CTE = BM25_CTE + f""",
+iv AS (SELECT b.item_id query_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+ds AS (SELECT iv.query_id, e.vec_id chunk_id, d.source, round({COSINE.format('e.embedding', 'iv.embedding')}, 6) score FROM iv CROSS JOIN embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+de AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM ds),
+tl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) r FROM sc JOIN documents d ON d.doc_id = sc.chunk_id WHERE score > 0 AND {TABLE_DOCS} QUALIFY r <= 40
+  UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) r FROM ds WHERE {TABLE_DOCS} QUALIFY r <= 40),
+tm AS (SELECT query_id, chunk_id, max(1.0::DOUBLE / (60 + r)) s, count(*) n, min(r) best FROM tl GROUP BY ALL),
 l AS (SELECT query_id, 'bm25' retriever, 'text' modality, chunk_id, rank FROM bm WHERE rank <= 30
-UNION ALL SELECT query_id, 'dense', 'text', chunk_id, CAST(31 - rank AS INTEGER) FROM bm WHERE rank BETWEEN 11 AND 30
-UNION ALL SELECT query_id, 'table', 'table', chunk_id, CAST(rank - 20 AS INTEGER) FROM bm WHERE rank BETWEEN 21 AND 40)"""
+UNION ALL SELECT query_id, 'dense', 'text', chunk_id, rank FROM de WHERE rank <= 30
+UNION ALL SELECT query_id, 'table', 'table', chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, n DESC, best, chunk_id) AS INTEGER) AS rank FROM tm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, n DESC, best, chunk_id) <= 20)"""
+
+
+def item_vectors(t: Tables) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("query_id")).join(t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id")
+
+
+def document_vectors(t: Tables) -> DataFrame:
+    docs = t("documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    return docs.join(t("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+
+
+def table_docs(docs: DataFrame) -> DataFrame:
+    return docs.where(F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) as int) % 2 = 0"))
+
+
+def retrievers(t: Tables) -> list[retrieval.Retriever]:
+    """Text by words and by vectors, and the tables."""
+    tables = table_docs(t("documents")).select(F.col("doc_id").alias("chunk_id"))
+
+    def words(queries: DataFrame, k: int) -> DataFrame:
+        return bm25_hits(t, k)
+
+    def by_vector(queries: DataFrame, k: int) -> DataFrame:
+        return dense.dense_top_k(document_vectors(t), item_vectors(t), k)
 
+    def of_tables(queries: DataFrame, k: int) -> DataFrame:
+        return retrieval.two_views(bm25_hits(t, 2 * k, tables), dense.dense_top_k(table_docs(document_vectors(t)), item_vectors(t), 2 * k), k)
 
-def lists(t) -> DataFrame:
-    """Three ranked lists per query that overlap in part, cut from one lexical ranking."""
-    bm = bm25_hits(t, 40).select("query_id", "chunk_id", "rank")
+    return [retrieval.Retriever("bm25", "text", words), retrieval.Retriever("dense", "text", by_vector), retrieval.Retriever("table", "table", of_tables, 0.7)]
 
-    def cut(name, modality, low, high, rank):
-        return bm.where(F.col("rank").between(low, high)).select("query_id", F.lit(name).alias("retriever"), F.lit(modality).alias("modality"), "chunk_id", rank.cast("int").alias("rank"))
 
-    return cut("bm25", "text", 1, 30, F.col("rank")).unionByName(cut("dense", "text", 11, 30, 31 - F.col("rank"))).unionByName(cut("table", "table", 21, 40, F.col("rank") - 20))
+def lists(t: Tables) -> DataFrame:
+    """The ranked lists of all retrievers: 30 of words, 30 of vectors, 20 of tables."""
+    return retrieval.retrieve(retrievers(t), t("benchmark").select(F.col("item_id").alias("query_id")), {"bm25": 30, "dense": 30, "table": 20})
 
 
 def _rrf_sql(weights: str = "1.0", method: str = "sum", top: int = 10) -> str:

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path for tables that outlive a plan, in the folder that spark.checkpoint.dir names; on one machine, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replaces the partitions that df has (the whole table without partition_by)."""
     out = df.withColumn("schema_version", F.lit(VERSION)).write.mode("overwrite")

@@ -1,10 +1,12 @@
 """Small fixtures with results known by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import classify, geometry, text
-from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, relational, understanding
+from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, relational, retrieval, understanding
 from skein.sources import store
 from skein.streaming import latency
 
@@ -168,3 +170,61 @@ def test_maxsim_equals_naive(spark):
     qt = spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(query)], "query_id int, token_id int, query_vec array<double>")
     for r in dense.maxsim(pt, qt).collect():
         assert r.score == pytest.approx((pages[r.page_id] @ query.T).max(0).sum(), abs=1e-5)
+
+
+def test_cuts_against_the_rule_piece_by_piece():
+    rng = random.Random(3)
+
+    def naive(sizes, target, overlap):
+        out, held = [], []
+        for k, n in enumerate(sizes):
+            if held and sum(sizes[j] for j in held) + n > target:
+                out.append((held[0], held[-1] + 1))
+                tail = []
+                for j in reversed(held):
+                    if overlap <= 0 or tail and sum(sizes[i] for i in tail) + sizes[j] > overlap:
+                        break
+                    tail.insert(0, j)
+                held = tail if len(tail) < len(held) else tail[-1:]
+            held.append(k)
+            if len(held) == 1 and n >= target:
+                out.append((k, k + 1))
+                held = []
+        return out + ([(held[0], held[-1] + 1)] if held else [])
+
+    for _ in range(2000):
+        sizes = [rng.randint(1, 12) for _ in range(rng.randint(0, 14))]
+        target, overlap = rng.randint(1, 20), rng.randint(0, 12)
+        assert chunking.cuts(sizes, target, min(overlap, target - 1)) == naive(sizes, target, min(overlap, target - 1))
+    pieces = [("a b c d.", "e1"), ("e f.", "e2"), ("g h.", "e3"), ("i " * 50 + ".", "e4")]
+    assert chunking.pack_sentences(pieces, 30, 20)[1][0].startswith("g h.") and not chunking.pack_sentences(pieces, 30, 0)[1][0].startswith("g h.")
+
+
+def test_split_tables_hold_every_row_once_and_fit():
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = [["w " * rng.randint(0, 9), str(k)] for k in range(rng.randint(0, 12))]
+        limit = rng.randint(10, 80)
+        parts = chunking.split_table("Cap", ["a", "b"], rows, limit)
+        lines = [x for _, t in parts for x in t.split("\n")[3:]]
+        assert [x.split("|")[2].strip() for x in lines] == [r[1] for r in rows]
+        for n, t in parts:
+            assert chunking.count_tokens(t) <= limit or len(t.split("\n")) <= 4
+            assert (n is None) == (len(parts) == 1)
+
+
+def test_index_on_disk_and_views(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", "alpha beta"), ("c2", "22,360 beta"), ("c3", "GPIO_OE"), ("c4", "!!!")], "id string, text string")
+    index = lexical.build(chunks, "id", "text", str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "gpio_oe"), (2, "22,360"), (3, "none such"), (4, "beta")], "qid int, q string")
+    got = [(r.query_id, r.chunk_id, r.rank) for r in lexical.search(index, queries, 3, "qid", "q").orderBy("query_id", "rank").collect()]
+    assert got == [(1, "c3", 1), (2, "c2", 1), (4, "c1", 1), (4, "c2", 2)] and index.n_docs == 4
+    assert lexical.search(lexical.LexicalIndex.load(spark, str(tmp_path / "index")), queries, 3, "qid", "q").count() == 4
+    joined = lexical._search_by_join(index, lexical.query_terms(queries, "qid", "q"), 3, None, 1.5, 0.75)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, lexical.search(index, queries, 3, "qid", "q").collect()))
+    for bad in ([("a", "x"), ("a", "y z")], []):
+        with pytest.raises(ValueError):
+            lexical.build(spark.createDataFrame(bad, "id string, text string"), "id", "text")
+    row = spark.createDataFrame([(None, "Staff.\n| a |", ["a", " ", None], "unknown", 2, 1, "Two")], "c string, t string, n array<string>, k string, r int, m int, s string")
+    view = row.select(retrieval.table_schema_view(*(F.col(x) for x in "ctnkrms"))).first()[0]
+    assert view == "Staff.\nColumns: a\n2 rows by 1 columns\nSection: Two"
