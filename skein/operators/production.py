@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 SMALL_SAMPLE = 100
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
-    """sorted[min(floor(n * fraction), n - 1)] of a group's non-null values."""
-    values = F.array_sort(F.collect_list(value))
-    place = F.least(F.floor(F.size(values) * F.lit(fraction)), F.size(values) - 1).cast("int")
-    return F.when(F.size(values) > 0, F.element_at(values, place + 1))
-
-
 def linear(value: str, fraction: float) -> Column:
     """Percentile with linear interpolation, exact."""
     return F.expr(f"percentile(`{value}`, {fraction})")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import classify, geometry, text
-from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, production, ranking, relational, retrieval, understanding
+from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, production, ranking, relational, retrieval, runs, understanding
 from skein.sources import store
 from skein.streaming import latency
 
@@ -403,44 +403,6 @@ def gold_validation(t, spark):
     return evaluation.gold_problems(wanted, docs, docs, docs).select("doc_id", "problem")
 
 
-JUDGED_SQL = """WITH r AS (SELECT doc_id, quality = 1 covered, toxic = 1 contradicts, doc_id % 7 = 0 refused FROM labels),
-s AS (SELECT doc_id, CASE WHEN refused THEN 'refused' WHEN contradicts THEN 'incorrect' WHEN covered THEN 'correct' ELSE 'incorrect' END correctness, covered FROM r)"""
-
-
-def judged(t) -> DataFrame:
-    claim = F.struct((F.col("quality") == 1).alias("supported"), F.lit(True).alias("cited"), (F.col("quality") == 1).alias("citation_supports"))
-    own = t("labels").select(
-        "doc_id", F.array(claim).alias("claims"), F.lit(1).alias("n_facts"), (F.col("quality") == 1).cast("int").alias("n_covered"), (F.col("doc_id") % 7 == 0).alias("refused"), F.lit(False).alias("declines"),
-        (F.col("toxic") == 1).alias("contradicts"), F.lit(0).alias("unresolved_citations"), F.lit(1).alias("n_citations"), F.lit(True).alias("answerable"),
-    )
-    return evaluation.judged_scores(own)
-
-
-@query(JUDGED_SQL + " SELECT doc_id, correctness, CASE correctness WHEN 'correct' THEN 1.0::DOUBLE WHEN 'incorrect' THEN 0.0 END correctness_score, CASE WHEN covered THEN 1.0::DOUBLE ELSE 0.0 END faithfulness, correctness = 'correct' AND covered grounded_correct, NOT covered citation_problem FROM s")
-def judged_scores(t, spark):
-    return judged(t).select("doc_id", "correctness", "correctness_score", "faithfulness", "grounded_correct", "citation_problem")
-
-
-@query(JUDGED_SQL + " SELECT CASE WHEN correctness = 'refused' THEN 'over_refusal' WHEN correctness = 'correct' THEN 'fully_correct' ELSE 'wrong_or_incomplete' END category, count(*) n FROM s GROUP BY 1")
-def taxonomy(t, spark):
-    yes, no = F.lit(True), F.lit(False)
-    r = dict(failed=no, answerable=F.col("answerable"), refused=F.col("refused_any"), mixed_refusal=no, has_unsupported=F.col("has_unsupported"), correctness=F.col("correctness"), citation_problem=F.col("citation_problem"), in_context=yes, retrieved=yes, gold_page_cited=yes)
-    return judged(t).groupBy(evaluation.error_category(r).alias("category")).agg(F.count("*").alias("n"))
-
-
-@query(JUDGED_SQL + " SELECT CASE WHEN doc_id % 5 = 0 THEN 'retrieval_failure' WHEN doc_id % 5 = 1 THEN 'context_failure' WHEN NOT (correctness = 'correct' AND covered) THEN 'generation_failure' WHEN NOT covered THEN 'citation_failure' ELSE 'success' END bucket, count(*) n FROM s GROUP BY 1")
-def failure_buckets(t, spark):
-    bucket = evaluation.failure_bucket(F.lit(False), F.col("answerable"), F.lit(""), F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 != 1, F.col("grounded_correct"), F.col("citation_problem"))
-    return judged(t).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query(METRICS_SQL + " SELECT query_id, round(greatest(recall_10, mrr) - least(recall_10, mrr), 6) spread FROM pq ORDER BY spread DESC, query_id LIMIT 10")
-def run_disagreements(t, spark):
-    own = per_query(t)
-    runs = own.select(F.lit("a").alias("run"), "query_id", F.col("recall_10").alias("value")).unionByName(own.select(F.lit("b").alias("run"), "query_id", F.col("mrr").alias("value")))
-    return evaluation.disagreements(runs, "value", 10)
-
-
 # ---- relational
 
 
@@ -664,7 +626,7 @@ def latency_percentiles_linear(t, spark):
 
 @query("SELECT event_type, s[least(CAST(floor(len(s) * 0.5) AS INTEGER), len(s) - 1) + 1] median, s[least(CAST(floor(len(s) * 0.9) AS INTEGER), len(s) - 1) + 1] p90 FROM (SELECT event_type, list_sort(list(value)) s FROM events WHERE value IS NOT NULL GROUP BY 1)")
 def latency_percentiles_nearest(t, spark):
-    return t("events").groupBy("event_type").agg(production.nearest_rank("value", 0.5).alias("median"), production.nearest_rank("value", 0.9).alias("p90"))
+    return runs.nearest_ranks(t("events"), "value", ["event_type"], {"median": 0.5, "p90": 0.9})
 
 
 @query("SELECT user_id, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY ROLLUP (user_id, event_type)")

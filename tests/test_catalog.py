@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from skein.plans import catalog
+from skein.plans import catalog, reports, retrieving, structure  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
