@@ -101,3 +101,49 @@ def test_passages_of_51_words_amid_sentences(spark):
         words = dict(docs)[d].split()
         a, b = map(int, r.spans.split(":"))
         assert " ".join(words[a:b]) in " ".join(planted[d // 2])
+
+
+def test_near_paragraphs_against_all_pairs(spark):
+    """Of all pairs of different paragraphs with a Jaccard similarity of 0.8, nearly all end in one component; no other pair is an edge."""
+    rng = random.Random(77)
+    texts = []
+    for _ in range(60):
+        base = unbroken(rng, 300)
+        for _ in range(3):
+            own = list(base)
+            for _ in range(3):
+                own[rng.randrange(300)] = "".join(rng.choices("pqrstu", k=5))
+            texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    chunks = passages.materialize(passages.chunks(frame, "doc_id", "text"), "chunks", 3000)
+    paragraphs = {}
+    for row in chunks.collect():
+        found = passages.Passages(row.asDict(), 20, 5, 4, 11)
+        for s, e, content, keys in zip(found.start.tolist(), found.end.tolist(), found.content.tolist(), found.keys.T.tolist()):
+            paragraphs[content] = set(found.rolled[s : e - 4].tolist()), keys
+    names = sorted(paragraphs)
+    near = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if len(paragraphs[a][0] & paragraphs[b][0]) >= 0.8 * len(paragraphs[a][0] | paragraphs[b][0])}
+    signed = {n: (n ^ 1 << 63) - (1 << 63) for n in names}
+    rows = [(signed[n], [(k ^ 1 << 63) - (1 << 63) for k in keys], passages.np.unique((passages.np.array(sorted(own), passages.np.uint64) >> passages.np.uint64(32)).astype("<u4")).tobytes()) for n, (own, keys) in paragraphs.items()]
+    links = passages.near_links(spark.createDataFrame(rows, "content long, keys array<long>, own binary"), 0.8, 16)
+    pairs = {(signed[a], signed[b]) for a, b in near}
+    for r in links.collect():
+        assert (r.content, r.other) in pairs or (r.other, r.content) in pairs
+    component = {r.node: r.component for r in passages.connected_components(links, "content", "other").collect()}
+    joined = sum(component.get(a, a) == component.get(b, b) for a, b in pairs)
+    print(f"near pairs {len(pairs)}, joined {joined}")
+    assert len(pairs) > 100 and joined >= 0.99 * len(pairs)
+
+
+def test_every_shared_run_of_thirty_words_is_found_to_the_word(spark):
+    rng = random.Random(30)
+    docs, want = [], {}
+    for k in range(40):
+        run = unbroken(rng, rng.randint(30, 45))
+        for copy in range(2):
+            before, after = unbroken(rng, rng.randint(0, 30)), unbroken(rng, rng.randint(0, 30))
+            docs.append((2 * k + copy, " ".join([*before, *run, *after])))
+            want[2 * k + copy] = f"{len(before)}:{len(before) + len(run)}"
+    got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert {d: r.spans for d, r in got.items()} == want
+    assert all(r.component_id == d // 2 * 2 and r.removed == (want[d] if d % 2 else "") for d, r in got.items())
