@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skein import config
 from skein.functions import classify, geometry, text
-from skein.operators import answering, chunking, dense, evaluation, fusion, layout, lexical, relational, retrieval, understanding
+from skein.operators import answering, chunking, dense, evaluation, fusion, generation, indexes, layout, lexical, relational, retrieval, runs, understanding
 from skein.sources import store
 from skein.streaming import latency
 
@@ -228,3 +229,74 @@ def test_index_on_disk_and_views(spark, tmp_path):
     row = spark.createDataFrame([(None, "Staff.\n| a |", ["a", " ", None], "unknown", 2, 1, "Two")], "c string, t string, n array<string>, k string, r int, m int, s string")
     view = row.select(retrieval.table_schema_view(*(F.col(x) for x in "ctnkrms"))).first()[0]
     assert view == "Staff.\nColumns: a\n2 rows by 1 columns\nSection: Two"
+
+
+def test_answer_sentences_take_their_citations_back(spark):
+    got = spark.createDataFrame([("It rose. [3] Then it fell. [2]",), ("[1] First. Second [2].",), (None,), ("",)], "a string").select(generation.answer_sentences("a").alias("s")).collect()
+    assert [r.s for r in got] == [["It rose. [3]", "Then it fell. [2]"], ["[1] First.", "Second [2]."], [], []]
+
+
+def test_evidence_bodies(spark):
+    rows = [("Doc > S\n\nTable 3: Staff\n| a |", "Doc > S", "table", False), ("lead\nFigure 2 | x\nrest", None, "figure", False), ("plain\ntext", None, "figure", True), ("plain", None, "text", True), ("", None, "table", True)]
+    frame = spark.createDataFrame(rows, "t string, h string, k string, c boolean")
+    got = frame.select(generation.evidence_body(F.col("t"), F.col("h"), F.col("k"), F.col("c")).alias("e")).select("e.*").collect()
+    assert [(r.body, r.caption) for r in got] == [("Caption: Table 3: Staff\n| a |", "Table 3: Staff"), ("Caption: Figure 2 | x\nlead\nrest", "Figure 2 | x"), ("Caption: plain\ntext", "plain"), ("plain", None), ("", None)]
+    assert generation.prompt_version("v1") != generation.prompt_version("v2")
+    with pytest.raises(PermissionError):
+        generation.refuse_calls("x")
+
+
+def test_evidence_pack_groups_pages_and_skips_what_does_not_fit(spark):
+    rows = [(1, 1, "a", "T", "d", 3, "text", None, "w " * 20, None, False), (1, 2, "b", "T", "d", 4, "text", None, "w " * 500, None, False), (1, 3, "c", "T", "d", 5, "text", " S ", "w", None, False), (1, 4, "e", "T", "d", 3, "text", None, "z", None, False)]
+    sources = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, title string, doc_id string, page int, chunk_type string, section string, text string, context_header string, has_caption boolean")
+    pack = generation.evidence_pack(sources, 100).orderBy("display_order").collect()
+    assert [(r.chunk_id, r.number) for r in pack] == [("a", 1), ("e", 3), ("c", 2)] and pack[2].block == "[2] T · page 5 · text · S\nw"
+    asked = spark.createDataFrame([(1, "why?"), (2, "none?")], "query_id int, question string")
+    got = {r.query_id: r for r in generation.prompts(asked, generation.evidence_pack(sources, 100)).collect()}
+    assert "\n\n---\n\n" in got[1].sources_block and generation.NO_SOURCES in got[2].prompt and len(got[1].prompt_sha256) == 64
+
+
+def test_runs_are_gated(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 2.0)], "query_id int, value double")
+    runs.save_run(frame, str(tmp_path / "r"), "judged", "a")
+    assert runs.load_run(spark, str(tmp_path / "r"), "judged", "a").count() == 1
+    for call in (lambda: runs.load_run(spark, str(tmp_path / "r"), "judged", "b"), lambda: runs.save_run(frame, str(tmp_path / "r"), "other", "a")):
+        with pytest.raises(ValueError):
+            call()
+    hits = spark.createDataFrame([("c1",), ("c9",)], "chunk_id string")
+    with pytest.raises(ValueError, match="c9"):
+        runs.rebuild_retrieved(hits, hits.where("chunk_id = 'c1'"))
+    gold = spark.createDataFrame([("q1", 0)], "query_id string, position int")
+    with pytest.raises(ValueError):
+        runs.select_work(gold, gold.limit(0), query_ids=["q1", "zz"])
+    cost = runs.estimate(spark.createDataFrame([(100, False), (50, True)], "prompt_tokens int, cache_hit boolean"), 1.0, 2.0)
+    assert runs.live_call_gate(cost, True, 1.0) == cost.where("stage = 'total'").first().cost_usd
+    for confirmed, budget in ((False, 1.0), (True, 0.0)):
+        with pytest.raises(PermissionError):
+            runs.live_call_gate(cost, confirmed, budget)
+    assert runs.to_markdown(frame) == "| query_id | value |\n| --- | --- |\n| 1 | 2.0000 |"
+
+
+def test_indexes_refuse_bad_vectors(spark, tmp_path):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0])], "chunk_id string, embedding array<float>")
+    with pytest.raises(indexes.IndexIntegrityError):
+        indexes.recreate(vectors, str(tmp_path / "v"), 2)
+    indexes.recreate(vectors.where("chunk_id = 'a'"), str(tmp_path / "v"), 2)
+    assert indexes.collection(spark, str(tmp_path / "v")).count() == 1
+    queries = spark.createDataFrame([("q", "text")], "query_id string, query string")
+    cache = spark.createDataFrame([], "query_sha256 string, identity string, vector array<double>")
+    with pytest.raises(KeyError):
+        indexes.query_vectors(queries, cache, "m")
+    unit = vectors.select(indexes.encoded(lambda s: s.map(lambda x: [3.0, 4.0]), F.col("chunk_id"), "passage: ").alias("v")).first().v
+    assert unit == pytest.approx([0.6, 0.8])
+
+
+def test_configuration(tmp_path):
+    (tmp_path / "base.json").write_text('{"a": {"x": 1, "y": 2}, "b": [1]}')
+    (tmp_path / "own.json").write_text('{"extends": "base.json", "a": {"y": 3}, "b": [2]}')
+    assert config.load(tmp_path / "own.json", {"a": {"z": 4}}) == {"a": {"x": 1, "y": 3, "z": 4}, "b": [2]}
+    (tmp_path / "base.json").write_text('{"extends": "own.json"}')
+    with pytest.raises(ValueError, match="extends itself"):
+        config.load(tmp_path / "own.json")
+    settings = config.Settings.from_environment("APP_", {"APP_API_KEY": "sk-1", "APP_HOST": "h", "OTHER": "x"})
+    assert settings.shown() == {"api_key": "***", "host": "h"} and "sk-1" not in repr(settings)
