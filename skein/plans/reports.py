@@ -237,9 +237,11 @@ def production_records(t, spark):
     return _production(t, spark).select("query_id", "in_retrieval_run", "status", "attempts", "error_kind", "retrieval_ms", "prompt_ms", "generation_ms", "postprocess_ms", "e2e_ms", "prompt_tokens", "completion_tokens", F.round("cost", 9).alias("cost"))
 
 
-@query(_STAGES + """, u AS (SELECT unnest([{'c': 'retrieval_ms', 'v': retrieval_ms::DOUBLE}, {'c': 'prompt_ms', 'v': prompt_ms::DOUBLE}, {'c': 'generation_ms', 'v': generation_ms::DOUBLE}, {'c': 'postprocess_ms', 'v': postprocess_ms::DOUBLE}, {'c': 'e2e_ms', 'v': e2e_ms::DOUBLE},
-{'c': 'prompt_tokens', 'v': prompt_tokens::DOUBLE}, {'c': 'completion_tokens', 'v': completion_tokens::DOUBLE}, {'c': 'cost', 'v': cost::DOUBLE}]) s FROM pr)
-SELECT s.c component, count(*) n, round(avg(s.v), 6) mean, round(quantile_cont(s.v, 0.5), 6) p50, round(quantile_cont(s.v, 0.95), 6) p95, round(quantile_cont(s.v, 0.99), 6) p99, round(max(s.v), 6) max, count(*) < 100 small_sample FROM u WHERE s.v IS NOT NULL GROUP BY 1""")
+_PARTS = ("retrieval_ms", "prompt_ms", "generation_ms", "postprocess_ms", "e2e_ms", "prompt_tokens", "completion_tokens", "cost")
+
+
+@query(_STAGES + ", u AS (" + " UNION ALL ".join(f"SELECT '{p}' component, CAST({p} AS DOUBLE) v FROM pr" for p in _PARTS) + """)
+SELECT component, count(*) n, round(avg(v), 6) mean, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95, round(quantile_cont(v, 0.99), 6) p99, round(max(v), 6) max, count(*) < 100 small_sample FROM u WHERE v IS NOT NULL GROUP BY 1""")
 def production_summary(t, spark):
     return runs.production_summary(_production(t, spark))
 
