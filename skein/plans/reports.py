@@ -21,7 +21,7 @@ RECORD = {
     "error": "CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'APITimeoutError: late' WHEN event_type = 'error' AND user_id % 3 = 1 THEN 'RateLimitError: 429' WHEN event_type = 'error' THEN 'boom' END",
     "judged": "user_id % 13 <> 0", "judge_status": "CASE WHEN user_id % 13 = 0 THEN 'error' ELSE 'ok' END", "repaired": "user_id % 17 = 0", "context_sufficient": "value > 0.5",
 }
-RECORD_CTE = f"r AS (SELECT n_chars, user_id, {', '.join(f'{e} AS {c}' for c, e in RECORD.items())} FROM labels JOIN documents USING (doc_id) JOIN events ON event_id = doc_id)"
+RECORD_CTE = f"r AS MATERIALIZED (SELECT n_chars, user_id, {', '.join(f'{e} AS {c}' for c, e in RECORD.items())} FROM labels JOIN documents USING (doc_id) JOIN events ON event_id = doc_id)"
 
 
 def records(t) -> DataFrame:
@@ -220,7 +220,7 @@ def run_tables(t, spark):
 _STAGES = f"""WITH {RECORD_CTE}, e2 AS (SELECT event_id query_id, coalesce(value, 0) + 2 rt FROM events WHERE user_id % 7 <> 0), tm AS (SELECT event_id query_id, 1.5 pm, 0.5 pp FROM events WHERE user_id % 4 <> 0),
 p AS (SELECT r.query_id, rt IS NOT NULL in_retrieval_run, status, cache_hit, attempts, CASE WHEN error LIKE '%Timeout%' THEN 'timeout' WHEN error LIKE '%429%' THEN 'rate_limit' WHEN error IS NOT NULL THEN 'other' END error_kind, rt retrieval_ms, pm prompt_ms,
   CASE WHEN status = 'ok' AND NOT cache_hit THEN latency_ms END generation_ms, pp postprocess_ms, CASE WHEN status = 'ok' THEN prompt_tokens END prompt_tokens, CASE WHEN status = 'ok' THEN completion_tokens END completion_tokens,
-  CASE WHEN status = 'ok' THEN (prompt_tokens * i + completion_tokens * o) / 1e6 END AS cost FROM r LEFT JOIN e2 USING (query_id) LEFT JOIN tm USING (query_id) LEFT JOIN (VALUES ('en', 0.15::DOUBLE, 0.6::DOUBLE), ('de', 0.15, 0.6), ('fr', 2.5, 10.0)) v(m, i, o) ON m = model),
+  CASE WHEN status = 'ok' THEN (prompt_tokens * i + completion_tokens * o) / 1e6 END AS cost FROM (SELECT *, CASE WHEN model IN ('en', 'de') THEN 0.15::DOUBLE WHEN model = 'fr' THEN 2.5 END i, CASE WHEN model IN ('en', 'de') THEN 0.6::DOUBLE WHEN model = 'fr' THEN 10.0 END o FROM r) r LEFT JOIN e2 USING (query_id) LEFT JOIN tm USING (query_id)),
 pr AS (SELECT *, retrieval_ms + prompt_ms + generation_ms + postprocess_ms e2e_ms FROM p)"""
 
 
@@ -240,7 +240,7 @@ def production_records(t, spark):
 _PARTS = ("retrieval_ms", "prompt_ms", "generation_ms", "postprocess_ms", "e2e_ms", "prompt_tokens", "completion_tokens", "cost")
 
 
-@query(_STAGES + ", u AS (" + " UNION ALL ".join(f"SELECT '{p}' component, CAST({p} AS DOUBLE) v FROM pr" for p in _PARTS) + """)
+@query(_STAGES + f", nm AS MATERIALIZED (SELECT {', '.join(_PARTS)} FROM pr), u AS (" + " UNION ALL ".join(f"SELECT '{p}' component, CAST({p} AS DOUBLE) v FROM nm" for p in _PARTS) + """)
 SELECT component, count(*) n, round(avg(v), 6) mean, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95, round(quantile_cont(v, 0.99), 6) p99, round(max(v), 6) max, count(*) < 100 small_sample FROM u WHERE v IS NOT NULL GROUP BY 1""")
 def production_summary(t, spark):
     return runs.production_summary(_production(t, spark))
