@@ -8,6 +8,8 @@ query, chunk and term is ever made; what leaves a task are its best k chunks of
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import lexical_tokens
+from skein.functions.text import LEXICAL, lexical_tokens
 from skein.operators.blocks import best_rows
 from skein.operators.ranking import top_k
 
@@ -24,6 +26,8 @@ K1, B = 1.5, 0.75
 BROADCAST_TERMS = 200_000
 #: Queries that one pass scores.
 QUERY_BLOCK = 2_000
+#: Chunks whose terms are counted at once.
+ROWS = 256
 
 
 @dataclass
@@ -48,10 +52,33 @@ class LexicalIndex:
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """chunk_id, n_tokens, term, tf; a chunk without tokens has one row of null term, so that it still counts."""
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), lexical_tokens(F.col(text_col)).alias("tokens"))
-    terms = tokens.select("chunk_id", F.size("tokens").alias("n_tokens"), F.explode_outer("tokens").alias("term"))
-    return terms.groupBy("chunk_id", "n_tokens", "term").agg(F.count("term").alias("tf"))
+    """chunk_id, n_tokens, term, tf; a chunk without tokens has one row of null term, so that it still counts.
+
+    A chunk's terms are counted where its text is read: a built-in aggregate would shuffle every token, here nothing is.
+    """
+    own = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).cast("string").alias("text"))
+    n = chunks.sparkSession.sparkContext.defaultParallelism
+    if own.rdd.getNumPartitions() < n:  # a few large files, many cores
+        own = own.repartition(n)
+    kind = own.schema["chunk_id"].dataType.simpleString()
+
+    def count(batches):
+        find = re.compile(LEXICAL).findall
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                counts, sizes = [], []
+                for text in part.column(1).to_pylist():
+                    tokens = find(text or "")
+                    sizes.append(len(tokens))
+                    counts.append(Counter(map(str.lower, tokens)) if tokens else {None: 0})
+                each = np.fromiter(map(len, counts), np.int64, len(counts))
+                owner = np.repeat(np.arange(len(counts)), each)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(owner)), pa.array(np.array(sizes, np.int32)[owner]), pa.array([t for c in counts for t in c], pa.string()), pa.array(np.fromiter((n for c in counts for n in c.values()), np.int64, len(owner)))], ["chunk_id", "n_tokens", "term", "tf"]
+                )
+
+    return own.mapInArrow(count, f"chunk_id {kind}, n_tokens int, term string, tf long")
 
 
 def build(chunks: DataFrame, id_col: str, text_col: str, path: str | None = None) -> LexicalIndex:
@@ -77,15 +104,9 @@ def build(chunks: DataFrame, id_col: str, text_col: str, path: str | None = None
     return index
 
 
-def corpus_size(chunks: DataFrame, text_col: str) -> DataFrame:
-    """One row: n_docs, avg_tokens."""
-    return chunks.agg(F.count("*").alias("n_docs"), F.avg(F.size(lexical_tokens(F.col(text_col)))).alias("avg_tokens"))
-
-
-def term_stats(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def term_stats(index: LexicalIndex) -> DataFrame:
     """term, df, idf over the whole corpus."""
-    df = postings(chunks, id_col, text_col).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(corpus_size(chunks, text_col))).select("term", "df", idf().alias("idf"))
+    return index.terms.withColumn("n_docs", F.lit(index.n_docs)).select("term", "df", idf().alias("idf"))
 
 
 def idf():

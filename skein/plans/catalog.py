@@ -94,7 +94,7 @@ def token_count_heuristic(t, spark):
 @query(f"""WITH d AS (SELECT doc_id, {DOC_TOKENS} toks FROM documents), u AS (SELECT DISTINCT doc_id, unnest(toks) term FROM d)
 SELECT term, count(*) df, round(ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)), 6) idf FROM u GROUP BY term""")
 def bm25_term_stats(t, spark):
-    return lexical.term_stats(t("documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    return lexical.term_stats(document_index(t)).withColumn("idf", F.round("idf", 6))
 
 
 @query(BM25_CTE + " SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 10")
