@@ -87,4 +87,4 @@ QUERIES = {f.__name__: f for f in (op1_language_id, pages_language, op2_lm_scori
 
 
 #: The others hash, decode and cluster beyond what SQL states; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op9_url_filters": oracles.OP9}
+ORACLES: dict[str, str] = {"op3_embedding_near_dedup": oracles.OP3, "op5_html_extraction": oracles.OP5, "op9_url_filters": oracles.OP9, "op10_benchmark_decontamination": oracles.OP10}
