@@ -85,8 +85,12 @@ def rerank(pool: DataFrame, scores: DataFrame, rerank_top_n: int = 25, top: int
 
     scores: query_id, chunk_id, rerank_score, from any model.
     """
-    head = pool.where(F.col("rank") <= rerank_top_n).withColumnRenamed("rank", "fused_rank")
-    joined = head.join(scores, ["query_id", "chunk_id"])
-    out = top_k(joined, top, [F.col("rerank_score").desc(), F.col("fused_rank")])
-    before = F.col("component_ranks") if "component_ranks" in pool.columns else F.create_map().cast("map<string,int>")
+    return reranked(pool.join(scores, ["query_id", "chunk_id"]), rerank_top_n, top)
+
+
+def reranked(scored: DataFrame, rerank_top_n: int = 25, top: int = 10) -> DataFrame:
+    """rerank() of a pool that has its rerank_score already."""
+    head = scored.where(F.col("rank") <= rerank_top_n).withColumnRenamed("rank", "fused_rank")
+    out = top_k(head, top, [F.col("rerank_score").desc(), F.col("fused_rank")])
+    before = F.col("component_ranks") if "component_ranks" in scored.columns else F.create_map().cast("map<string,int>")
     return out.select("query_id", "chunk_id", F.col("rerank_score").alias("score"), "rank", "fused_rank", F.map_concat(before, F.create_map(F.lit("fused"), F.col("fused_rank"))).alias("component_ranks"))

@@ -155,9 +155,9 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, query_id: str, query
 
     def score(batches):
         blocks, weight = sent.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             ids_here, lists, parts = batch.column(0), batch.column(1), batch.column(2)
-            owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))  # flatten() below heeds the slice
             nos, values = lists.flatten().to_numpy(), parts.flatten().to_numpy()
             values = values * weight[nos]
             for names_here, used, pairs in blocks:

@@ -272,9 +272,11 @@ def rerank_stub(t, spark):
     """Reranks by the share of query tokens in a passage's first 2000 characters, in place of a cross-encoder."""
     pool = bm25_hits(t, 25).select("query_id", "chunk_id", "rank")
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(text.lexical_tokens(F.col("text"))).alias("qt"))
-    d = t("documents").select(F.col("doc_id").alias("chunk_id"), F.array_distinct(text.lexical_tokens(F.substring("text", 1, 2000))).alias("dt"))
-    scores = pool.select("query_id", "chunk_id").join(q, "query_id").join(d, "chunk_id").select("query_id", "chunk_id", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6).alias("rerank_score"))
-    return fusion.rerank(pool, scores).select("query_id", "chunk_id", "score", "fused_rank", "rank")
+    d = t("documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 2000).alias("passage"))
+    # Passages are split after the join: only those of the pool.
+    scored = pool.join(q, "query_id").join(d, "chunk_id").withColumn("dt", F.array_distinct(text.lexical_tokens(F.col("passage"))))
+    scored = scored.select("query_id", "chunk_id", "rank", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6).alias("rerank_score"))
+    return fusion.reranked(scored).select("query_id", "chunk_id", "score", "fused_rank", "rank")
 
 
 # ---- query understanding
@@ -350,14 +352,20 @@ gi AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id OR
 mt AS (SELECT bm.query_id, bm.rank, bm.chunk_id, gi.idx matched FROM bm LEFT JOIN gi ON gi.query_id = bm.query_id AND gi.doc_id = bm.chunk_id WHERE bm.rank <= 10)"""
 
 
-def gold(t) -> DataFrame:
-    """Documents that contain an item word for word. Candidates share the item's longest inner word, so nothing is crossed; items of under three words have none."""
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    items = t("benchmark").where("text <> ''").withColumn("w", words).where("size(w) > 2").withColumn("inner", F.explode(F.slice("w", 2, F.size("w") - 2)))
-    items = items.groupBy("item_id", "text").agg(F.max_by("inner", F.struct(F.length("inner"), "inner")).alias("word")).select("item_id", F.lower("text").alias("needle"), "word")
+def gold(t: Tables) -> DataFrame:
+    """Documents that contain an item word for word. Candidates hold the item's rarest inner token, by the lexical index; items of fewer than three tokens, few and short, are looked for in every document."""
+    index = document_index(t)
+    items = t("benchmark").where("text <> ''").select(F.col("item_id").alias("query_id"), F.lower("text").alias("needle"), text.lexical_tokens(F.col("text")).alias("tokens"))
     docs = t("documents").where("text is not null").select("doc_id", F.lower("text").alias("hay"))
-    meets = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.regexp_replace("hay", r"\s+", " "), " "))).alias("word")).join(items, "word")
-    hits = meets.join(docs, "doc_id").where(F.contains("hay", F.col("needle"))).select(F.col("item_id").alias("query_id"), "doc_id").distinct()
+    long, short = items.where("size(tokens) > 2"), items.where("size(tokens) <= 2")
+    inner = long.select("query_id", F.explode(F.slice("tokens", 2, F.size("tokens") - 2)).alias("term")).distinct()
+    rarest = inner.join(index.terms, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    meets = rarest.join(index.postings.select("term", F.col("chunk_id").alias("doc_id")), "term").join(long.select("query_id", "needle"), "query_id")
+    hits = meets.join(docs, "doc_id").where(F.contains("hay", F.col("needle"))).select("query_id", "doc_id")
+    if short.head(1):
+        few = short.limit(1001).count() <= 1000
+        pairs = docs.join(F.broadcast(short) if few else short, F.contains("hay", F.col("needle")))
+        hits = hits.unionByName(pairs.select("query_id", "doc_id"))
     return ranking.ranked(hits.withColumnRenamed("doc_id", "chunk_id"), [F.col("chunk_id")]).select("query_id", F.col("chunk_id").alias("doc_id"), (F.col("rank") - 1).alias("idx"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("modality"))
 
 
@@ -600,8 +608,8 @@ SELECT query_id, unnest(r) AS rank, CAST(generate_subscripts(r, 1) AS INTEGER) n
 
 @query(_budget_oracle())
 def context_budget(t, spark):
-    docs = t("documents").select(F.col("doc_id").alias("chunk_id"), F.size(text.lexical_tokens(F.col("text"))).alias("cost"))
-    return answering.admit(bm25_hits(t).join(docs, "chunk_id"), 1500)
+    sources = bm25_hits(t).join(t("documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    return answering.admit(sources.withColumn("cost", F.size(text.lexical_tokens(F.col("text")))), 1500)
 
 
 @query()
