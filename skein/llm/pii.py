@@ -209,7 +209,7 @@ def risks(docs: DataFrame, text_col: str, window: int, support: int) -> DataFram
     return out
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, alpha: float = 0.95, support: int = 3) -> DataFrame:
+def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, alpha: float = 0.98, support: int = 2) -> DataFrame:
     """Terms that disclose an entity, as a table of distinct hashes: term."""
     found = risks(docs, text_col, window, support)
     out = materialize(found.where(F.col("pmi") >= alpha * F.col("ic")).select("term").distinct(), "disclosures")
@@ -217,7 +217,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, alpha:
     return out
 
 
-def risk_curve(docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 3, steps: int = 20) -> DataFrame:
+def risk_curve(docs: DataFrame, text_col: str = "text", window: int = 8, support: int = 2, steps: int = 20) -> DataFrame:
     """alpha, terms, pairs, occurrences: what a threshold of alpha = 0, 1 / steps, ... 1 would take from the corpus."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("pmi") / F.col("ic")))
     held = risks(docs, text_col, window, support).select("entity", "term", "all", F.floor(share * steps).cast("int").alias("step"))
@@ -309,7 +309,7 @@ def _applied(docs: DataFrame, text_col: str, revealing: DataFrame, fn, schema, c
     return joined.mapInArrow(frugal(run_joined), schema)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, alpha: float = 0.95, support: int = 3, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, alpha: float = 0.98, support: int = 2, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """One row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term.
 
     Null and empty texts have no spans; very long ones are searched whole, in linear time; rows that repeat are judged
@@ -332,7 +332,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     return _applied(columns, "text", revealing, fn, schema, ["id", "text"], broadcast_terms).withColumnRenamed("id", id_col)
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", window: int = 8, alpha: float = 0.95, support: int = 3, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", window: int = 8, alpha: float = 0.98, support: int = 2, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """docs with identifiers and secrets masked and disclosing terms generalised; length_col, if there is one, follows the text.
 
     No row goes; null and empty texts, repeated rows and all other columns, whatever their names, stay as they are; very

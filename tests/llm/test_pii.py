@@ -49,7 +49,7 @@ def test_terms_that_disclose_an_entity_are_spans_wherever_they_stand(spark):
     docs = corpus()
     frame = spark.createDataFrame([(d, t, "s", 0) for d, t in docs], "doc_id long, text string, spans string, n_chars int").repartition(3)
     for bound in (10, 10_000):
-        got = pii.find(frame, broadcast_terms=0 if bound == 10 else bound).collect()
+        got = pii.find(frame, alpha=0.95, support=3, broadcast_terms=0 if bound == 10 else bound).collect()
         assert len(got) == len(docs)
         by = {r.doc_id: r for r in got}
         text = docs[11][1]
@@ -59,7 +59,7 @@ def test_terms_that_disclose_an_entity_are_spans_wherever_they_stand(spark):
         at = docs[41][1].index("zebulon")
         assert by[41].spans == f"term:{at}:{at + 7}" and by[41].n_term == 1
         assert by[None].n_email == 1 and by[95].n_ip == 1
-        clean = {r.doc_id: r for r in pii.sanitise(frame, broadcast_terms=0 if bound == 10 else bound).collect()}
+        clean = {r.doc_id: r for r in pii.sanitise(frame, alpha=0.95, support=3, broadcast_terms=0 if bound == 10 else bound).collect()}
         assert "[EMAIL]" in clean[11].text and "[PHONE]" in clean[11].text and "Zebulon" not in clean[11].text
         assert clean[41].text == docs[41][1].replace("zebulon", "[WORD]")
         assert clean[11].n_chars == len(clean[11].text) and clean[5].text == docs[5][1] and clean[5].n_chars == 0 and clean[90].text is None
@@ -104,8 +104,8 @@ def test_disclosures_against_brute_force(spark):
             ic = -math.log(around[entity] / total)
             if near_docs[entity, t] >= support and math.log(n / all_counts[t]) + ic >= alpha * ic > 0:
                 want.add(pii.term_key(t))
-        assert want and {r.term for r in pii.disclosures(frame, alpha=alpha).collect()} == want
-    curve = {r.alpha: r.terms for r in pii.risk_curve(frame).collect()}
+        assert want and {r.term for r in pii.disclosures(frame, alpha=alpha, support=support).collect()} == want
+    curve = {r.alpha: r.terms for r in pii.risk_curve(frame, support=support).collect()}
     assert curve[0.95] == len(want) and curve[0.0] >= curve[0.5] >= curve[1.0]
 
 
@@ -115,3 +115,11 @@ def test_columns_with_clashing_names(spark):
     for bound in (0, 100):
         got = pii.sanitise(frame, broadcast_terms=bound)
         assert got.columns == frame.columns and sum("[EMAIL]" in (r.text or "") for r in got.collect()) == 4
+
+
+def test_the_query_finds_terms_on_the_tables(spark):
+    from skein.llm import queries
+
+    got = queries.op6_pii_sanitisation(spark, "/root/testdata/sf0.01").where("n_term > 0").collect()
+    print(f"{sum(r.n_term for r in got)} term spans in {len(got)} documents")
+    assert got
