@@ -26,7 +26,7 @@ from skein.llm.interpolation import _pack, _unpack, rows_of
 
 BLOCK_CHARS = 16 << 20
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Block:
