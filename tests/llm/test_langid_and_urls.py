@@ -153,3 +153,53 @@ def test_url_rules(spark):
     ]
     assert url_rules.mine(spark.createDataFrame([], "url string, bad boolean")).count() == 0
     assert url_rules.judge(pages.limit(0), queries.URL_RULES, mined).count() == 0
+
+
+def test_posteriors_against_plain_python(spark):
+    """Text likelihood, unknown class, confusion table and smoothed address priors without the row's own share, row by row."""
+    rng = random.Random(21)
+    hosts = ["a.x.com", "b.x.com", "a.y.de", "solo", ""]
+    rows = []
+    for k in range(150):
+        name = rng.choice(list(WORDS))
+        rows.append((k, " ".join(rng.choices(WORDS[name], k=rng.randint(1, 6))), rng.choice([*WORDS, "xx", None]), rng.choice(hosts) or None))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labelled = spark.createDataFrame([(" ".join(rng.choices(WORDS[n], k=12)), n) for n in WORDS for _ in range(30)], "text string, language string")
+    model = langid.fit(labelled)
+    names, n, temper, strength, unknown = list(langid.LANGUAGES), 4, 0.3, 20.0, 1e-3
+    scored = []
+    for d, text, said, source in rows:
+        codes, bounds = langid.trigrams(pa.array([text]))
+        logs = [temper * sum(float(model[c, k]) for c in codes) for k in range(n)]
+        top = max(logs)
+        none = temper * len(codes) * float(model[0, n]) + np.log(unknown) - top
+        logs = [x - top for x in logs]
+        total = sum(np.exp(x) for x in logs) + np.exp(min(none, 700.0))
+        mass = [np.exp(x) / total if len(codes) else 0.0 for x in logs]
+        host = (source or "").lower()
+        labels = host.split(".")
+        scored.append((d, logs, none, mass, said if said in names else None, host, ".".join(labels[-2:]), labels[-1] if len(labels) > 1 else ""))
+    root = np.array([sum(s[3][k] for s in scored) for k in range(n)]) + 1.0
+    root /= root.sum()
+    confusion = np.array([[sum(s[3][k] for s in scored if s[4] == name) + (n - 1.0 if j == k else 1.0) for k in range(n)] for j, name in enumerate(names)])
+    want = {}
+    for d, logs, none, mass, said, host, domain, suffix in scored:
+        prior = root
+        for at, value in ((7, suffix), (6, domain), (5, host)):
+            same = [s for s in scored if s[7] == suffix and (at > 6 or s[6] == domain) and (at > 5 or s[5] == host) and s[at] == value]
+            counts = np.array([sum(s[3][k] for s in same) - mass[k] for k in range(n)])
+            prior = (counts + strength * prior) / (counts.sum() + strength)
+        fused = [logs[k] + (np.log((confusion[names.index(said), k] - mass[k]) / (confusion[:, k].sum() - mass[k])) if said else 0.0) + np.log(prior[k]) for k in range(n)]
+        best = max(fused)
+        total = sum(np.exp(x - best) for x in fused) + np.exp(none - (np.log(n) if said else 0.0) - best)
+        want[d] = names[int(np.argmax(fused))], 1 / total
+    got = {r.doc_id: r for r in langid.identify(frame, model, declared=F.col("lang"), address=F.col("source")).collect()}
+    for d, (name, p) in want.items():
+        if got[d].evidence:
+            assert got[d].language == name and abs(got[d].posterior - p) < 1e-5, (d, got[d], name, p)
+
+
+def test_pages_are_judged_by_markup_and_address_too(spark):
+    got = queries.pages_language(spark, "/root/testdata/sf0.01").collect()
+    marked = {r.page_id: r.d for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", langid.declared_language(F.col("html")).alias("d")).collect()}
+    assert len(got) == len(marked) and sum(r.language == marked[r.page_id] for r in got) >= 0.98 * len(got)
