@@ -475,7 +475,17 @@ def collapse_ws(t, spark):
     return t("documents").select("doc_id", F.sha2(text.collapse_whitespace(F.col("text")), 256).alias("flat"))
 
 
-@query()
+def _normalized_sql() -> str:
+    """The steps after the compatibility forms; the tables' texts have none to fold."""
+    out = "nfc_normalize(text)"
+    for sign, plain in {**text.LIGATURES, **text.PLAIN, **dict.fromkeys(text.INVISIBLE, "")}.items():
+        out = f"replace({out}, chr({ord(sign)}), '{plain.replace(chr(39), chr(39) * 2)}')"
+    for pattern, to in ((r"\r\n?", "chr(10)"), (r"[\x00-\x08\x0b-\x1f\x7f]", "''"), (r"([a-z])-\n([a-z])", r"'\1\2'"), (r"[ \t]+\n", "chr(10)"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+        out = f"regexp_replace({out}, '{pattern}', {to}, 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+@query(_normalized_sql())
 def normalize_text(t, spark):
     return t("documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
 
@@ -493,7 +503,16 @@ def context_header(t, spark):
     return t("pages").select("page_id", text.context_header(F.regexp_extract("html", "<title>([^<]*)</title>", 1), host, host).alias("header"))
 
 
-@query()
+_ABBREVIATIONS = "[" + ", ".join(f"'{a}'" for a in text.ABBREVIATIONS) + "]"
+#: A gap after a sentence becomes a mark, as RE2 looks neither back nor ahead; a piece whose forerunner ends in an abbreviation or an initial goes on with it.
+SENTENCES_CTE = rf"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) pi FROM documents),
+q AS (SELECT doc_id, pi, list_filter(list_transform(string_split(regexp_replace(regexp_replace(para, '^\s+|\s+$', '', 'g'), '([.!?])\s+(["''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') l FROM p),
+r AS (SELECT doc_id, pi, unnest(l) s, generate_subscripts(l, 1) k, l FROM q), w AS (SELECT *, CASE WHEN k > 1 THEN lower(regexp_extract(l[k - 1], '(\S+)\s*$', 1)) ELSE '' END lw FROM r),
+m AS (SELECT *, list_contains({_ABBREVIATIONS}, lw) OR (len(lw) = 2 AND lw[2] = '.' AND regexp_matches(lw[1], '[\p{{L}}\p{{N}}]')) joins FROM w),
+g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pi, k) grp FROM m)"""
+
+
+@query(SENTENCES_CTE + " SELECT doc_id, CAST(grp - 1 AS INTEGER) place, string_agg(s, ' ' ORDER BY pi, k) sentence FROM g GROUP BY doc_id, grp")
 def sentence_split(t, spark):
     return t("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence"))
 
@@ -612,13 +631,14 @@ def context_budget(t, spark):
     return answering.admit(sources.withColumn("cost", F.size(text.lexical_tokens(F.col("text")))), 1500)
 
 
-@query()
+@query(BM25_CTE + " SELECT query_id, string_agg(concat(left(text, 80), ' [', rank, ']'), ' ' ORDER BY rank) answer, CAST(floor(sum(len(text)) / 4) AS BIGINT) prompt_tokens FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY 1")
 def echo_answers(t, spark):
     sources = bm25_hits(t, 3).join(t("documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").withColumnRenamed("rank", "number")
     return answering.echo_answer(sources)
 
 
-@query()
+@query(GOLD_CTE + r""", k AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.,%\-/]*'), lambda x: lower(regexp_replace(x, '^[.,]+|[.,]+$', '', 'g'))), lambda x: regexp_matches(x, '[0-9]')) toks FROM benchmark)
+SELECT item_id, doc_id, len(toks) > 0 checkable, len(toks) > 0 AND len(list_filter(toks, lambda x: NOT contains(lower(text), x))) = 0 "found" FROM gold JOIN k ON item_id = query_id JOIN documents USING (doc_id)""")
 def fact_lexical(t, spark):
     facts = t("benchmark").select("item_id", "text").join(gold(t).select(F.col("query_id").alias("item_id"), "doc_id"), "item_id").join(t("documents").select("doc_id", F.lower("text").alias("hay")), "doc_id")
     return evaluation.fact_coverage(facts, F.col("hay"), text.key_tokens(F.col("text"))).select("item_id", "doc_id", "checkable", "found")
