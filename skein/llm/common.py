@@ -47,6 +47,20 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(keep):
+    """Tables that materialize() makes inside are deleted at the end, but for those that keep() lists then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        made, kept = _SCOPES.pop(), {t._skein_path for t in keep()}
+        release(*(t for t in made if t._skein_path not in kept))
+
+
 def materialize(df: DataFrame, name: str, rows: int = TEXT_ROWS) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors. rows: see arrow_rows."""
     spark = df.sparkSession
@@ -55,6 +69,8 @@ def materialize(df: DataFrame, name: str, rows: int = TEXT_ROWS) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
+    for scope in _SCOPES:
+        scope.append(out)
     return out
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,12 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
             places = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(places)), pa.array(places), pa.array(own[places])], ["language", "place", "n"])
 
-    rows = known.select("text", "language").mapInArrow(frugal(count), "language string, place long, n long").groupBy("language", "place").agg(F.sum("n").alias("n")).toLocalIterator()  # at most `size` for each language
+    counted = known.select("text", "language").mapInArrow(frugal(count), "language string, place long, n long").groupBy("language", "place").agg(F.sum("n").alias("n")).toArrow()  # at most `size` rows a language
+    names, places, numbers = (counted.column(c) for c in ("language", "place", "n"))
     found = {name: np.zeros(size) for name in languages}
-    for r in rows:
-        found[r.language][r.place] = r.n
+    for name in languages:
+        own = pa.compute.equal(names, name)
+        found[name][places.filter(own).to_numpy()] = numbers.filter(own).to_numpy()
     table = np.stack([found[name] + 0.5 for name in languages], 1).astype(np.float64)
     held_out = np.log(np.maximum(table - 1, 0.5) / table.sum(0))
 
