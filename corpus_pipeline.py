@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, langid, packing, pii, simhash
-from skein.llm.common import materialize
+from skein.llm.common import materialize, release, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    """The rows of the last stage, each stage written as Parquet and reread; a stage's own tables and its input go once it is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with scratch(lambda: held[-1:]):
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            held.append(docs)
+        release(*held[:-1])
+    return STAGES[-1][1](spark, docs, sf_dir)
