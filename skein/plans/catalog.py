@@ -414,13 +414,13 @@ def gold_validation(t, spark):
 # ---- relational
 
 
-@query("""SELECT c.c_custkey doc_id, coalesce(p.n, 0) n_pages, coalesce(e.n, 0) n_elements, coalesce(e.t, 0) n_tables, e.m mean_confidence, coalesce(e.lo, 0) n_low_confidence FROM customer c
+@query("""SELECT c.c_custkey doc_id, coalesce(p.n, 0) n_pages, coalesce(e.n, 0) n_elements, coalesce(e.t, 0) n_tables, coalesce(e.f, 0) n_figures, e.m mean_confidence, coalesce(e.lo, 0) n_low_confidence FROM customer c
 LEFT JOIN (SELECT o_custkey k, count(*) n FROM orders GROUP BY 1) p ON p.k = c.c_custkey
-LEFT JOIN (SELECT o_custkey k, count(*) n, count(*) FILTER (l_returnflag = 'R') t, round(avg(l_discount), 3) m, count(*) FILTER (l_discount < 0.5) lo FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) e ON e.k = c.c_custkey""")
+LEFT JOIN (SELECT o_custkey k, count(*) n, count(*) FILTER (l_returnflag = 'R') t, count(*) FILTER (l_returnflag = 'A') f, round(avg(l_discount), 3) m, count(*) FILTER (l_discount < 0.5) lo FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) e ON e.k = c.c_custkey""")
 def corpus_stats(t, spark):
     orders = t("orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
-    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doc_id", F.when(F.col("l_returnflag") == "R", "table").otherwise("text").alias("element_type"), F.col("l_discount").alias("extraction_confidence"))
-    return relational.corpus_stats(t("customer").select(F.col("c_custkey").alias("doc_id")), orders, lines).drop("n_figures")
+    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doc_id", F.when(F.col("l_returnflag") == "R", "table").when(F.col("l_returnflag") == "A", "chart").otherwise("text").alias("element_type"), F.col("l_discount").alias("extraction_confidence"))
+    return relational.corpus_stats(t("customer").select(F.col("c_custkey").alias("doc_id")), orders, lines)
 
 
 @query("SELECT s.s_suppkey element_id, n.n_nationkey page_id, r.r_regionkey doc_id, n.n_name section, r.r_name title FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
@@ -696,3 +696,8 @@ def load_level_summary(t, spark):
 @query("SELECT date_trunc('hour', ts) window_start, event_type, count(*) n, round(avg(value), 6) mean FROM events GROUP BY ALL")
 def latency_windows(t, spark):
     return latency.latency_windows(t("events").withColumn("ts", F.col("ts").cast("timestamp"))).drop("p95").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT user_id, min(ts) session_start, count(*) n FROM s GROUP BY user_id, k")
+def event_sessions(t, spark):
+    return latency.sessions(t("events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
