@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.operators import answering, dense, fusion, generation, indexes, ranking, retrieval, runs, understanding
+from skein.operators import dense, generation, indexes, methods, retrieval, understanding
 from skein.plans import catalog
 from skein.plans.catalog import BM25_CTE, DOC_TOKENS, LISTS_CTE, TOKENS, query
 from skein.sources import store
@@ -303,3 +303,40 @@ def judge_repairs(t, spark):
 
     own = t("labels").select(F.col("doc_id").alias("query_id"), F.concat_ws("|", "doc_id", F.lit("judge this")).alias("prompt"), F.lit(0).alias("n_facts"))
     return generation.judge(own, provider).select("query_id", "problem", "repaired", F.col("prompt_tokens").cast("long").alias("prompt_tokens"))
+
+
+# ---- whole methods
+
+
+@query(BM25_CTE + ", n AS (SELECT query_id, count(*) n FROM bm WHERE rank <= 3 GROUP BY 1) SELECT item_id query_id, CASE WHEN item_id % 5 = 0 THEN 'error' ELSE 'ok' END status, coalesce(n, 0) n_sources, CASE WHEN item_id % 5 > 0 THEN '1' END cited, CASE WHEN item_id % 5 = 0 OR n > 0 THEN 0 ELSE 1 END::BIGINT unresolved, item_id % 5 = 0 OR n > 0 passed FROM benchmark LEFT JOIN n ON query_id = item_id")
+def answered_questions(t, spark):
+    """From questions to validated answers of a stand-in provider that cites its first source and fails on some prompts."""
+
+    def provider(prompt: str) -> tuple[str, int, int]:
+        if "(fails)" in prompt:
+            raise TimeoutError("late")
+        return "Nothing more is known about this here [1].", len(prompt) // 4, 8
+
+    text_ = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("item_id") % 5 == 0, " (fails)").otherwise(""))
+    questions = t("benchmark").select(F.col("item_id").alias("query_id"), text_.alias("question"))
+    chunks = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("source").alias("doc_id"), F.lit(1).alias("page"), F.lit("text").alias("chunk_type"), F.lit("").alias("section"), "text", F.lit("").alias("context_header"), F.lit(False).alias("has_caption"))
+    out = methods.answer(questions, catalog.bm25_hits(t, 3), chunks, provider, budget=10**9)
+    return out.select("query_id", "status", "n_sources", F.when(F.col("status") == "ok", F.array_join(F.col("cited").cast("array<string>"), ",")).alias("cited"), F.col("unresolved").cast("long").alias("unresolved"), "passed")
+
+
+_METHOD_SQL = LISTS_CTE + """, w AS (SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 50), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) s, min(rank) best FROM (SELECT * FROM w UNION ALL SELECT query_id, chunk_id, rank FROM de WHERE rank <= 50) GROUP BY ALL)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, best, chunk_id) AS INTEGER) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, best, chunk_id) <= 10"""
+
+
+@query(_METHOD_SQL)
+def flat_method(t, spark):
+    return methods.run("flat", catalog.retrievers(t), t("benchmark").select(F.col("item_id").alias("query_id"))).select("query_id", "chunk_id", "rank")
+
+
+@query(catalog.MAXSIM_CTE.replace("QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) <= 10", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) <= 50") + " SELECT r.query_id, v.vec_id chunk_id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, v.vec_id) AS INTEGER) AS rank FROM r JOIN embeddings v ON v.vec_id // 10 = r.page_id QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, v.vec_id) <= 10")
+def pages_method(t, spark):
+    """A page retriever alone, by its method."""
+    e = t("embeddings")
+    tokens = e.where("vec_id % 100 = 0 or vec_id % 100 = 50").select(F.expr("vec_id div 100").alias("query_id"), F.col("vec_id").alias("token_id"), F.col("embedding").alias("query_vec"))
+    page = methods.page_retriever(e.select(F.expr("vec_id div 10").alias("page_id"), F.col("embedding").alias("vec")), tokens, e.select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 10").alias("page_id"), F.col("vec_id").alias("ordinal")))
+    return methods.run("pages", [page], tokens.select("query_id").distinct()).select("query_id", "chunk_id", "rank")
