@@ -230,3 +230,31 @@ def figure_chunks(elements: DataFrame) -> DataFrame:
         return F.coalesce(F.col(c), F.lit("")) != ""
 
     return elements.select("doc_id", "page", F.array("element_id").alias("element_ids"), F.lit("figure").alias("chunk_type"), "body", "figure_type", has("caption").alias("has_caption"), has("ocr_text").alias("has_ocr"), has("description").alias("has_description"), "image_path")
+
+
+# ---- text blocks
+
+#: Bit of a bold font, and the least length of a block.
+BOLD, LEAST_CHARS = 16, 2
+
+
+def text_blocks(spans: DataFrame) -> DataFrame:
+    """page_id, block_id, text, font_size, font_name, is_bold of each block: its size is that of most characters, its font that of its longest span, the first of equals.
+
+    spans: page_id, block_id, place, text, size, font, flags. Blocks of less than LEAST_CHARS characters go.
+    """
+    own = spans.withColumns({"text": F.coalesce("text", F.lit("")), "size": F.round("size", 1)})
+    sizes = own.groupBy("page_id", "block_id", "size").agg(F.sum(F.length("text")).alias("chars"), F.min("place").alias("first"))
+    size = sizes.groupBy("page_id", "block_id").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("font_size"))
+    parts = own.groupBy("page_id", "block_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("text"), F.max_by(F.struct("font", "flags"), F.struct(F.length("text"), -F.col("place"))).alias("lead")
+    )
+    bold = (F.coalesce("lead.flags", F.lit(0)).bitwiseAND(BOLD) != 0) | F.contains(F.lower(F.coalesce("lead.font", F.lit(""))), F.lit("bold"))
+    blocks = parts.join(size, ["page_id", "block_id"]).withColumn("text", normalize(F.col("text"))).where(F.length("text") >= LEAST_CHARS)
+    return blocks.select("page_id", "block_id", "text", "font_size", F.col("lead.font").alias("font_name"), bold.alias("is_bold"))
+
+
+def pages_to_read(documents: DataFrame, cap: int | None = None) -> DataFrame:
+    """doc_id, page_number of what is read: up to the least of a document's pages, its own limit and the cap. documents: doc_id, n_pages, page_limit."""
+    last = F.least("n_pages", "page_limit", *([F.lit(cap)] if cap is not None else []))
+    return documents.where("n_pages > 0").select("doc_id", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("page_number"))

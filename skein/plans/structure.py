@@ -312,3 +312,38 @@ def running_furniture(t, spark):
     half = F.struct(*((F.col(f"bbox.{c}") * (0.5 if c[0] == "y" else 1.0)).alias(c) for c in ("x0", "y0", "x1", "y1")))
     own = boxes(t).select(F.col("page_id").alias("doc_id"), (F.col("vec_id") % 25).alias("page_id"), half.alias("bbox"), F.concat(F.lit("page "), F.col("vec_id") % 40).alias("text"))
     return layout.furniture(own)
+
+
+@query("""WITH s AS (SELECT o_custkey page_id, o_orderkey block_id, l_linenumber place, l_partkey, repeat('x', CAST(l_quantity AS INTEGER) % 7) t, round(l_tax * 100, 1) size, l_returnflag font FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+u AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY place, l_partkey, size, t) p FROM s),
+z AS (SELECT block_id, size, sum(len(t)) c, min(p) f FROM u GROUP BY 1, 2), b AS (SELECT block_id, arg_max(size, {'c': c, 'f': -f}) font_size FROM z GROUP BY 1),
+l AS (SELECT page_id, block_id, string_agg(t, '' ORDER BY p) AS text, arg_max(font, {'n': len(t), 'p': -p}) font_name, arg_max(p, {'n': len(t), 'p': -p}) % 2 = 0 even FROM u GROUP BY 1, 2)
+SELECT page_id, block_id, text, font_size, font_name, even is_bold FROM l JOIN b USING (block_id) WHERE len(text) >= 2""")
+def text_blocks(t, spark):
+    from pyspark.sql import Window
+
+    own = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = own.select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("block_id"), "l_linenumber", "l_partkey", F.expr("repeat('x', cast(l_quantity as int) % 7)").alias("text"), F.round(F.col("l_tax") * 100, 1).alias("size"), F.col("l_returnflag").alias("font"))
+    place = F.row_number().over(Window.partitionBy("block_id").orderBy("l_linenumber", "l_partkey", "size", "text"))
+    own = own.withColumn("place", place).withColumn("flags", F.when(F.col("place") % 2 == 0, 16).otherwise(1))
+    return ingestion.text_blocks(own)
+
+
+@query("SELECT o_custkey doc_id, CAST(unnest(generate_series(1, least(count(*), 7, CASE WHEN o_custkey % 2 = 0 THEN 3 END))) AS INTEGER) page_number FROM orders GROUP BY o_custkey")
+def pages_to_read(t, spark):
+    own = t("orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count("*").alias("n_pages"))
+    return ingestion.pages_to_read(own.withColumn("page_limit", F.when(F.col("doc_id") % 2 == 0, F.lit(3).cast("long"))), 7)
+
+
+@query("WITH c AS (SELECT doc_id, n_chars % 5 k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'header' WHEN 1 THEN 'title' WHEN 2 THEN 'heading' WHEN 3 THEN 'caption' ELSE 'text' END kind FROM c")
+def element_types(t, spark):
+    k = F.col("n_chars") % 5
+    words = F.when(k == 3, "Table 12: x").otherwise("Some text")
+    return t("documents").select("doc_id", layout.element_type(F.when(k == 0, "header"), F.when(k == 1, 1).when(k == 2, 2), words).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - least(1.0, p_size / 100.0 * 3) - CASE WHEN p_size < 15 THEN 0.2 ELSE 0 END - CASE WHEN p_size % 3 = 0 AND p_size > 20 THEN 0.2 ELSE 0 END)) END::DOUBLE confidence FROM part".replace("SELECT p_partkey, CASE", "SELECT p_partkey, round(CASE").replace("END::DOUBLE confidence", "END::DOUBLE, 6) confidence"))
+def text_confidences(t, spark):
+    n = F.col("p_size")
+    score = classify.text_confidence(n / 100, F.when(n % 4 == 0, 0).otherwise(n), F.when(n % 3 == 0, 0.1).otherwise(0.9))
+    return t("part").select("p_partkey", F.round(score, 6).alias("confidence"))
