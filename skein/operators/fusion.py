@@ -14,7 +14,8 @@ def rrf(hits: DataFrame, method: str = "sum", k: int = K, top: int | None = None
     """keys, chunk_id, score, rank, component_ranks from hits(keys, retriever, chunk_id, rank[, weight]).
 
     A list's best rank of a chunk counts; lists of weight 0 take no part. sum: contributions added in list order; max:
-    the best one, lists in agreement breaking ties. Then best rank, then chunk id.
+    the best one, lists in agreement breaking ties. Then best rank, then chunk id. Scores are compared at twelve digits,
+    so that equal sums of different parts (0.7/63 + 1/72, 0.7/68 + 1/68) tie.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
@@ -28,7 +29,7 @@ def rrf(hits: DataFrame, method: str = "sum", k: int = K, top: int | None = None
     fused = parts.groupBy(*keys, "chunk_id").agg(ordered.alias("lists"), F.min("rank").alias("best_rank"), F.max("part").alias("top_part"))
     total = F.aggregate("lists", F.lit(0.0), lambda s, x: s + x["part"])
     fused = fused.withColumn("score", total if method == "sum" else F.col("top_part")).withColumn("n_lists", F.size("lists"))
-    order = [F.col("score").desc(), *([F.col("n_lists").desc()] if method == "max" else []), F.col("best_rank"), F.col("chunk_id")]
+    order = [F.round("score", 12).desc(), *([F.col("n_lists").desc()] if method == "max" else []), F.col("best_rank"), F.col("chunk_id")]
     w = Window.partitionBy(*keys).orderBy(*order)
     out = fused.withColumn("rank", F.row_number().over(w).cast("int"))
     if top is not None:

@@ -48,6 +48,28 @@ def test_rrf_sum_and_max(spark):
         fusion.rrf(both, k=0)
 
 
+def tied_lists(spark):
+    """x at 12 of the text and 3 of the table list, y at 8 of both: both have 0.025, but for the last bit of a double."""
+    text_list = {8: "y", 12: "x"}
+    table_list = {3: "x", 8: "y"}
+    rows = [(1, "bm25", "text", text_list.get(k, f"t{k:02}"), k) for k in range(1, 31)] + [(1, "table", "table", table_list.get(k, f"u{k:02}"), k) for k in range(1, 21)]
+    return spark.createDataFrame(rows, "query_id int, retriever string, modality string, chunk_id string, rank int")
+
+
+def test_equal_sums_tie(spark):
+    own = tied_lists(spark)
+    weights = spark.createDataFrame([("text", 1.0), ("table", 0.7)], "modality string, weight double")
+    fused = fusion.two_stage(own, weights)
+    first = {r.chunk_id: r.rank for r in fused.collect()}
+    assert (first["x"], first["y"]) == (1, 2)
+    pool = fusion.balanced_pool(fused, fusion.rrf(own, keys=("query_id", "modality")), ["text", "table"], 8, 25)
+    assert [r.chunk_id for r in pool.orderBy("rank").limit(2).collect()] == ["x", "y"]
+    scores = own.select("query_id", "chunk_id", F.lit(0.5).alias("rerank_score")).distinct()
+    found = [retrieval.Retriever("bm25", "text", None), retrieval.Retriever("table", "table", None, 0.7)]
+    best = retrieval.by_modality(found, own, 10, 8, 25, scores=scores).orderBy("rank").limit(2).collect()
+    assert [(r.chunk_id, r.fused_rank) for r in best] == [("x", 1), ("y", 2)]
+
+
 def test_weights_and_pool(spark):
     r = spark.createDataFrame([("bm25", "text", 1.0), ("dense", "text", None), ("table", "table", 0.4)], "retriever string, modality string, weight double")
     assert {x.modality: x.weight for x in fusion.modality_weights(r, {"table": 0.9}).collect()} == {"text": 1.0, "table": 0.9}
