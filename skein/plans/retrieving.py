@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text
 from skein.operators import dense, generation, indexes, methods, retrieval, understanding
 from skein.plans import catalog
-from skein.plans.catalog import BM25_CTE, DOC_TOKENS, LISTS_CTE, TOKENS, query
+from skein.plans.catalog import BM25_CTE, DOC_TOKENS, LISTS_CTE, query
 from skein.sources import store
 
 # ---- retrievers and their composition
@@ -30,15 +30,17 @@ def hybrid_filtered(t, spark):
 @query(LISTS_CTE + catalog.WITHIN_SQL + f""", p1 AS (SELECT query_id, chunk_id FROM wr WHERE modality = 'text' AND mrank <= 8),
 p2 AS (SELECT query_id, chunk_id FROM wr WHERE modality = 'table' AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM p1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mrank, chunk_id) <= 8),
 pk AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), ch AS (SELECT ts.query_id, ts.chunk_id, rank fr FROM ts LEFT JOIN pk ON ts.query_id = pk.query_id AND ts.chunk_id = pk.chunk_id QUALIFY row_number() OVER (PARTITION BY ts.query_id ORDER BY pk.chunk_id IS NULL, rank, ts.chunk_id) <= 25),
-qt AS (SELECT item_id query_id, list_distinct({DOC_TOKENS}) qt FROM benchmark), dt AS (SELECT doc_id chunk_id, list_distinct({TOKENS.format("left(coalesce(text, ''), 2000)")}) dt FROM documents),
+qt AS (SELECT item_id query_id, list_distinct({DOC_TOKENS}) qt FROM benchmark), dt AS (SELECT doc_id chunk_id, list_distinct({DOC_TOKENS}) dt FROM documents),
 pr AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fr, chunk_id) AS INTEGER) fused_rank FROM ch), rs AS (SELECT pr.*, round(len(list_intersect(qt, dt)) / len(qt), 6) score FROM pr JOIN qt USING (query_id) JOIN dt USING (chunk_id))
 SELECT query_id, chunk_id, score, fused_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS INTEGER) AS rank FROM rs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) <= 10""")
 def modality_rerank(t, spark):
-    """Retrieval by modality with a balanced pool, reranked by the share of the question's words."""
+    """Retrieval by modality with a balanced pool, reranked by the share of the question's words in the whole text."""
     own = catalog.lists(t)
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(text.lexical_tokens(F.col("text"))).alias("qt"))
-    d = t("documents").select(F.col("doc_id").alias("chunk_id"), F.array_distinct(text.lexical_tokens(F.substring("text", 1, 2000))).alias("dt"))
-    scores = own.select("query_id", "chunk_id").distinct().join(q, "query_id").join(d, "chunk_id").select("query_id", "chunk_id", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6).alias("rerank_score"))
+    # Texts are split after the join: only those that a list has.
+    d = t("documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    both = own.select("query_id", "chunk_id").distinct().join(q, "query_id").join(d, "chunk_id").withColumn("dt", F.array_distinct(text.lexical_tokens(F.col("text"))))
+    scores = both.select("query_id", "chunk_id", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6).alias("rerank_score"))
     return retrieval.by_modality(catalog.retrievers(t), own, 10, 8, 25, scores=scores).select("query_id", "chunk_id", "score", "fused_rank", "rank")
 
 
