@@ -103,7 +103,7 @@ def split_sentences(text: str | None) -> list[str]:
                 out[-1] += " " + piece
             else:
                 out.append(piece)
-            last = out[-1].split()[-1].lower()
+            last = piece.rsplit(None, 1)[-1].lower()
             open_ = last in ABBREVIATIONS or len(last) == 2 and last[1] == "." and last[0].isalnum()
     return out
 

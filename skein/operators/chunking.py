@@ -7,13 +7,15 @@ import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import SUBWORD_FACTOR, split_sentences
 
 PIECES = re.compile(r"\w+|[^\w\s]")
+#: Runs whose chunks leave a task at once.
+RUNS = 256
 
 
 def count_tokens(text: str) -> int:
@@ -74,27 +76,51 @@ def cuts(sizes: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
 
 def pack_sentences(pieces: list[tuple[str, str]], target: int = 384, overlap: int = 64) -> list[tuple[str, list[str], int]]:
     """(body, element ids, tokens) of chunks from (sentence, element id) pieces; see cuts()."""
+    counts = [len(PIECES.findall(s)) for s, _ in pieces]  # no piece crosses the space between sentences
     chunks = []
-    for a, b in cuts([count_tokens(s) for s, _ in pieces], target, overlap):
+    for a, b in cuts([math.floor(n * SUBWORD_FACTOR) for n in counts], target, overlap):
         body = " ".join(s for s, _ in pieces[a:b])
-        chunks.append((body, list(dict.fromkeys(e for _, e in pieces[a:b])), count_tokens(body)))
+        chunks.append((body, list(dict.fromkeys(e for _, e in pieces[a:b])), math.floor(sum(counts[a:b]) * SUBWORD_FACTOR)))
     return chunks
 
 
 def pack_prose(elements: DataFrame, target: int = 384, overlap: int = 64) -> DataFrame:
-    """doc_id, page, run, ordinal, body, element_ids, token_count. elements: doc_id, page, run, reading_order, element_id, body; a run is one page's at most."""
+    """doc_id, page, run, ordinal, body, element_ids, token_count. elements: doc_id, page, run, reading_order, element_id, body; a run is one page's at most.
+
+    Runs are sorted into streams, as a call for each costs more than packing it. Tasks are as many as shuffle partitions,
+    so that what one sorts does not grow by merging small ones.
+    """
     if overlap >= target:
         raise ValueError("overlap must be below the target")
     kind = elements.schema["doc_id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["reading_order", "element_id"])
-        pieces = [(s, e) for body, e in zip(pdf["body"], pdf["element_id"], strict=True) for s in split_sentences(body)]
-        rows = [[pdf["doc_id"].iloc[0], pdf["page"].iloc[0], pdf["run"].iloc[0], k, *c] for k, c in enumerate(pack_sentences(pieces, target, overlap))]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "run", "ordinal", "body", "element_ids", "token_count"])
+    keys = ["doc_id", "page", "run"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32()]
+
+    def pack(batches):
+        key, pieces, rows, runs, id_type = None, [], [], 0, None
+
+        def sent():
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [id_type, *types], strict=True)], [*keys, "ordinal", "body", "element_ids", "token_count"])
+
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for *own, element, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    rows += [(*key, k, *c) for k, c in enumerate(pack_sentences(pieces, target, overlap))] if key else []
+                    key, pieces, runs = own, [], runs + 1
+                    if runs >= RUNS and rows:
+                        yield sent()
+                        rows, runs = [], 0
+                pieces += [(s, element) for s in split_sentences(body)]
+        rows += [(*key, k, *c) for k, c in enumerate(pack_sentences(pieces, target, overlap))] if key else []
+        if rows:
+            yield sent()
 
     source = elements.select("doc_id", F.col("page").cast("int"), F.col("run").cast("long"), F.col("reading_order").cast("int"), F.col("element_id").cast("string"), "body")
-    return source.groupBy("doc_id", "page", "run").applyInPandas(run, f"doc_id {kind}, page int, run long, ordinal int, body string, element_ids array<string>, token_count int")
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = source.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("reading_order").asc_nulls_last(), F.col("element_id").asc_nulls_last()).select(*keys, "element_id", "body")
+    return ordered.mapInArrow(pack, f"doc_id {kind}, page int, run long, ordinal int, body string, element_ids array<string>, token_count int")
 
 
 def split_table(caption: str, columns: list[str], rows: list[list[str | None]], limit: int = 1024) -> list[tuple[int | None, str]]:
