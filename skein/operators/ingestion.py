@@ -244,14 +244,30 @@ def text_blocks(spans: DataFrame) -> DataFrame:
     spans: page_id, block_id, place, text, size, font, flags. Blocks of less than LEAST_CHARS characters go.
     """
     own = spans.withColumns({"text": F.coalesce("text", F.lit("")), "size": F.round("size", 1)})
-    sizes = own.groupBy("page_id", "block_id", "size").agg(F.sum(F.length("text")).alias("chars"), F.min("place").alias("first"))
-    size = sizes.groupBy("page_id", "block_id").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("font_size"))
-    parts = own.groupBy("page_id", "block_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("text"), F.max_by(F.struct("font", "flags"), F.struct(F.length("text"), -F.col("place"))).alias("lead")
+    # One grouping: each more of them, and a join of two, sorts the spans again in the same task.
+    blocks = own.groupBy("page_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("place", "text", "size", "font", "flags"))).alias("spans"))
+    by_size = F.array_sort(F.transform("spans", lambda x: F.struct(x["size"].alias("size"), x["place"].alias("place"), F.length(x["text"]).cast("long").alias("chars"))))
+
+    def better(s: Column) -> Column:
+        """The run of a size that ends here, where it has more characters than the best so far, or came first."""
+        wins = s["best"].isNull() | (s["chars"] > s["best"]["chars"]) | ((s["chars"] == s["best"]["chars"]) & (s["first"] < s["best"]["first"]))
+        return F.when(wins, F.struct(s["chars"].alias("chars"), s["first"].alias("first"), s["size"].alias("size"))).otherwise(s["best"])
+
+    def add(s: Column, x: Column) -> Column:
+        same = s["size"].eqNullSafe(x["size"]) & s["first"].isNotNull()
+        best = F.when(same | s["first"].isNull(), s["best"]).otherwise(better(s))
+        return F.struct(x["size"].alias("size"), F.when(same, s["chars"] + x["chars"]).otherwise(x["chars"]).alias("chars"), F.when(same, s["first"]).otherwise(x["place"]).alias("first"), best.alias("best"))
+
+    size_kind, place_kind = (own.schema[c].dataType.simpleString() for c in ("size", "place"))
+    start = F.lit(None).cast(f"struct<size:{size_kind},chars:bigint,first:{place_kind},best:struct<chars:bigint,first:{place_kind},size:{size_kind}>>")
+    start = F.struct(start["size"].alias("size"), start["chars"].alias("chars"), start["first"].alias("first"), start["best"].alias("best"))
+    lead = F.array_max(F.transform("spans", lambda x: F.struct(F.length(x["text"]).alias("chars"), (-x["place"]).alias("earlier"), x["font"].alias("font"), x["flags"].alias("flags"))))
+    parts = blocks.select(
+        "page_id", "block_id", F.array_join(F.transform("spans", lambda x: x["text"]), "").alias("text"), F.aggregate(by_size, start, add, lambda s: better(s)["size"]).alias("font_size"), lead.alias("lead")
     )
     bold = (F.coalesce("lead.flags", F.lit(0)).bitwiseAND(BOLD) != 0) | F.contains(F.lower(F.coalesce("lead.font", F.lit(""))), F.lit("bold"))
-    blocks = parts.join(size, ["page_id", "block_id"]).withColumn("text", normalize(F.col("text"))).where(F.length("text") >= LEAST_CHARS)
-    return blocks.select("page_id", "block_id", "text", "font_size", F.col("lead.font").alias("font_name"), bold.alias("is_bold"))
+    shown = parts.withColumn("text", normalize(F.col("text"))).where(F.length("text") >= LEAST_CHARS)
+    return shown.select("page_id", "block_id", "text", "font_size", F.col("lead.font").alias("font_name"), bold.alias("is_bold"))
 
 
 def pages_to_read(documents: DataFrame, cap: int | None = None) -> DataFrame:

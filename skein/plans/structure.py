@@ -322,7 +322,9 @@ SELECT page_id, block_id, text, font_size, font_name, even is_bold FROM l JOIN b
 def text_blocks(t, spark):
     from pyspark.sql import Window
 
-    own = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Join, places and blocks share this partitioning; a stated number is not merged into fewer, larger tasks.
+    lines = t("lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    own = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     own = own.select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("block_id"), "l_linenumber", "l_partkey", F.expr("repeat('x', cast(l_quantity as int) % 7)").alias("text"), F.round(F.col("l_tax") * 100, 1).alias("size"), F.col("l_returnflag").alias("font"))
     place = F.row_number().over(Window.partitionBy("block_id").orderBy("l_linenumber", "l_partkey", "size", "text"))
     own = own.withColumn("place", place).withColumn("flags", F.when(F.col("place") % 2 == 0, 16).otherwise(1))
