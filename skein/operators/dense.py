@@ -1,7 +1,7 @@
 """Dense and multi-vector scoring: exact, as products of blocks of vectors with blocks of queries.
 
-Queries go out in blocks of at most QUERY_BLOCK vectors, one pass over the corpus for each; a task returns its best k
-of each query, so neither pairs nor scores are shuffled.
+Queries go out in blocks of about QUERY_BLOCK vectors, one pass over the corpus for each; a task scores a few rows at a
+time and returns what may be among its best k of each query, so neither pairs nor scores are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.blocks import best_rows
+from skein.operators.blocks import Best, best_rows, row_slices
 from skein.operators.ranking import top_k
 
 QUERY_BLOCK = 4_096
@@ -39,14 +39,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _query_blocks(queries: DataFrame, columns: list[str]):
-    """Rows of the queries in blocks, one at a time on the driver."""
+def _query_blocks(queries: DataFrame, columns: list[str], whole: bool = False):
+    """Rows of the queries in blocks, one at a time on the driver. whole: rows that follow each other with the same first value stay in one block."""
     held = []
     for row in queries.select(*columns).toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == QUERY_BLOCK:
+        if len(held) >= QUERY_BLOCK and not (whole and held[-1][0] == row[0]):
             yield held
             held = []
+        held.append(tuple(row))
     if held:
         yield held
 
@@ -75,15 +75,23 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bo
 
         def score(batches, sent=sent):
             ids, matrix, wanted = sent.value
-            for batch in batches:
-                scores = _unit(_matrix(batch.column(1))) @ matrix.T if len(batch) else np.zeros((0, len(ids)))
-                out = np.zeros(scores.shape, bool)
-                if exclude_self:
-                    out |= np.array(batch.column(0).to_pylist(), object)[:, None] == np.array(ids, object)[None, :]
-                if match:
-                    out |= np.array(batch.column(2).to_pylist(), object)[:, None] != wanted[None, :]
-                scores[out] = -2.0
-                yield best_rows(scores, batch.column(0), ids, k, lambda s: s > -1.5, query_type, chunk_type)
+            best = Best(k, len(ids))
+            codes = {label: n for n, label in enumerate(dict.fromkeys(wanted.tolist()))}
+            asked = np.array([codes[label] for label in wanted.tolist()])
+            columns: dict = {}
+            for n, own_id in enumerate(ids):
+                columns.setdefault(own_id, []).append(n)
+            for whole in batches:
+                for a, b in row_slices(len(whole), len(ids)):
+                    batch = whole.slice(a, b - a)
+                    scores = _unit(_matrix(batch.column(1))) @ matrix.T
+                    if exclude_self:
+                        for n, own_id in enumerate(batch.column(0).to_pylist()):
+                            if own_id in columns:
+                                scores[n, columns[own_id]] = -2.0
+                    if match:
+                        scores[np.array([codes.get(x, -1) for x in batch.column(2).to_pylist()])[:, None] != asked[None, :]] = -2.0
+                    yield best_rows(scores, batch.column(0), ids, k, lambda s: s > -1.5, query_type, chunk_type, best)
 
         part = own.mapInArrow(score, f"query_id {query_wire}, chunk_id {chunk_wire}, score double")
         found = part if found is None else found.unionByName(part)
@@ -103,9 +111,8 @@ def maxsim(page_tokens: DataFrame, query_tokens: DataFrame, k: int | None = None
     query_kind, query_type, query_wire = _types(query_tokens, "query_id")
     page_kind, page_type, page_wire = _types(page_tokens, "page_id")
     own = page_tokens.where("vec is not null").select("page_id", "vec").repartition("page_id").sortWithinPartitions("page_id")
-    one_pass = query_tokens.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK  # else a query's tokens may fall into two blocks, and each has a part of its sum
     found = None
-    for rows in _query_blocks(query_tokens.orderBy("query_id", "token_id"), ["query_id", "query_vec"]):
+    for rows in _query_blocks(query_tokens.orderBy("query_id", "token_id"), ["query_id", "query_vec"], whole=True):
         ids = sorted({r[0] for r in rows})
         sent = spark.sparkContext.broadcast((ids, np.searchsorted(ids, [r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
 
@@ -113,9 +120,8 @@ def maxsim(page_tokens: DataFrame, query_tokens: DataFrame, k: int | None = None
             ids, owner, matrix = sent.value
             starts = np.flatnonzero(np.r_[True, np.diff(owner) != 0])
             open_page, best = None, None
-            for batch in batches:
-                if not len(batch):
-                    continue
+            leading = Best(k, len(ids)) if k else None
+            for batch in (w.slice(a, b - a) for w in batches for a, b in row_slices(len(w), len(owner))):
                 pages = np.array(batch.column(0).to_pylist(), object)
                 first = np.flatnonzero(np.r_[True, pages[1:] != pages[:-1]])
                 most = np.maximum.reduceat(_matrix(batch.column(1)) @ matrix.T, first, axis=0)
@@ -125,20 +131,20 @@ def maxsim(page_tokens: DataFrame, query_tokens: DataFrame, k: int | None = None
                 elif open_page is not None:
                     names, most = [open_page, *names], np.r_[best[None], most]
                 open_page, best = names[-1], most[-1]
-                yield rows_of(names[:-1], most[:-1], ids, starts)
+                if len(names) > 1:
+                    yield rows_of(names[:-1], most[:-1], ids, starts, leading)
             if open_page is not None:
-                yield rows_of([open_page], best[None], ids, starts)
+                yield rows_of([open_page], best[None], ids, starts, leading)
 
-        def rows_of(names, most, ids, starts):
-            sums = np.add.reduceat(most, starts, axis=1) if len(names) else np.zeros((0, len(ids)))
-            return best_rows(sums, pa.array(names, page_type), ids, k if k and one_pass else max(len(names), 1), lambda s: s > -np.inf, query_type, page_type).rename_columns(["query_id", "page_id", "score"])
+        def rows_of(names, most, ids, starts, leading):
+            sums = np.add.reduceat(most, starts, axis=1)
+            return best_rows(sums, pa.array(names, page_type), ids, len(names), lambda s: s > -np.inf, query_type, page_type, leading).rename_columns(["query_id", "page_id", "score"])
 
         part = own.mapInArrow(score, f"query_id {query_wire}, page_id {page_wire}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], f"query_id {query_wire}, page_id {page_wire}, score double")
-    summed = found if one_pass else found.groupBy("query_id", "page_id").agg(F.sum("score").alias("score"))
-    return summed.select(F.col("query_id").cast(query_kind).alias("query_id"), F.col("page_id").cast(page_kind).alias("page_id"), F.round("score", 6).alias("score"))
+    return found.select(F.col("query_id").cast(query_kind).alias("query_id"), F.col("page_id").cast(page_kind).alias("page_id"), F.round("score", 6).alias("score"))
 
 
 def expand_pages(page_hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
