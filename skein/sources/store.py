@@ -25,6 +25,13 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a workspace and read back: for small tables that a plan uses more than once."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replaces the partitions that df has (the whole table without partition_by)."""
     out = df.withColumn("schema_version", F.lit(VERSION)).write.mode("overwrite")
