@@ -1,9 +1,8 @@
-"""Text functions as column expressions; Arrow only for NFKC and for sentence merging."""
+"""Text functions as column expressions; Arrow only for sentence merging."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,9 +69,9 @@ def quality(text: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(text: Column) -> Column:
+    """Compatibility forms by the ICU library in Spark's own jars, so a text goes through the JVM alone, one row at a time."""
+    return F.when(text.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
 
 
 def normalize_basic(text: Column) -> Column:
