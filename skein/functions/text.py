@@ -1,13 +1,12 @@
-"""Text functions as column expressions; Arrow only for sentence merging."""
+"""Text functions as column expressions; texts stay in the JVM."""
 
 from __future__ import annotations
 
+import functools
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Patterns and tables whose results must match.
 LEXICAL = r"[A-Za-z0-9]+(?:[._,][A-Za-z0-9]+)*"
@@ -17,6 +16,8 @@ SECRET = r"\b(?:sk|rk)-[A-Za-z0-9_\-*]{6,}"
 CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 ABBREVIATIONS = ("e.g.", "i.e.", "cf.", "vs.", "etc.", "al.", "fig.", "eq.", "no.", "dr.", "mr.", "mrs.", "ms.", "prof.", "st.", "approx.", "vol.", "pp.", "ref.", "sec.")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])")
+#: What Python strips and `\s` of its patterns finds.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
 PLAIN = {
     "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"',
@@ -107,9 +108,24 @@ def split_sentences(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentences(texts: pd.Series) -> pd.Series:
-    return texts.map(split_sentences)
+@functools.cache
+def _gaps() -> tuple[str, str]:
+    """Java patterns of the gaps that split_sentences() closes up and of those where it parts; letters and digits are Python's, as the JVM's may be of an older Unicode."""
+    known = [c for c in range(0x110000) if chr(c).isalnum() and len(chr(c).lower()) == 1]
+    firsts = [c for k, c in enumerate(known) if not k or known[k - 1] != c - 1]
+    lasts = [c for k, c in enumerate(known) if k + 1 == len(known) or known[k + 1] != c + 1]
+    initial = "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(firsts, lasts, strict=True))
+    word = rf"(?:\A|[{_SPACES}])(?:(?i:{'|'.join(map(re.escape, ABBREVIATIONS))})|(?=.\.)[{initial}]\.)"
+    gap, ahead = f"[{_SPACES}]++", r"[\"'(\[]?[A-Z0-9]"
+    return rf"\.(?={gap}{ahead})(?<={word}){gap}", rf"([.!?])(?={gap}{ahead})(?<!{word}){gap}"
+
+
+def sentences(text: Column) -> Column:
+    """split_sentences() as patterns; none for null. A paragraph has no empty line, so one can stand for a gap where it parts."""
+    goes_on, parts = _gaps()
+    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n\n")
+    marked = F.transform(paragraphs, lambda p: F.regexp_replace(F.regexp_replace(F.btrim(p, F.lit(_SPACES)), goes_on, ". "), parts, "$1\n\n"))
+    return F.filter(F.split(F.array_join(marked, "\n\n"), "\n\n"), lambda s: s != "")
 
 
 def context_header(title: Column, section: Column, subsection: Column) -> Column:
